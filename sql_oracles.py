@@ -271,3 +271,146 @@ SELECT phrase_hash, phrase, first_year, last_year, peak_year, peak_decade, total
        {r10('temporal_entropy', 'temporal_entropy')}, decade, {r10('decade_score', 'decade_score')},
        decade_raw_count, {r10('target_probability', 'target_probability')}
 FROM c2_features"""
+
+
+# ---------------------------------------------------------------------------
+# Corpus C3: labelled predictions derived from orders, and the metrics
+# ---------------------------------------------------------------------------
+_C3_OFFSETS = [(1, -20, "1 + (k + 2 * c) % 2"), (2, -10, "1 + c % 3"), (3, 0, "1 + k % 3"),
+               (4, 10, "1 + (k + c) % 2"), (5, 20, "1 + (c + 2 * k) % 3")]
+_C3_TOTAL = " + ".join(f"({s})" for _, _, s in _C3_OFFSETS)
+_C3_LONG = "\n  UNION ALL\n".join(
+    f"  SELECT id, {pos} AS pos, CAST(center + ({off}) AS VARCHAR) || 's' AS decade, ({s}) / ({_C3_TOTAL}) AS p "
+    f"FROM c3_x WHERE NOT empty" for pos, off, s in _C3_OFFSETS)
+
+C3 = f"""WITH c3_x AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS k, o_custkey AS c,
+         CASE WHEN o_orderkey % 13 <> 0 THEN {decade('year(o_orderdate) - 10 * (o_custkey % 5)')} END
+           AS expected_decade,
+         (year(o_orderdate) - 10 * (o_orderkey % 4)) // 10 * 10 AS center,
+         (o_orderstatus = 'P' AND o_orderkey % 7 = 0) AS empty,
+         CASE o_orderpriority WHEN '1-URGENT' THEN '1_token' WHEN '2-HIGH' THEN '2_4_tokens'
+              WHEN '3-MEDIUM' THEN '5_8_tokens' WHEN '4-NOT SPECIFIED' THEN '9_15_tokens' END AS input_size_group
+  FROM orders
+),
+c3_long AS (
+{_C3_LONG}
+),
+c3_top AS (
+  SELECT id, decade AS top_decade, round(p, 6) AS confidence
+  FROM c3_long QUALIFY row_number() OVER (PARTITION BY id ORDER BY p DESC, pos) = 1
+),
+c3_rank AS (
+  SELECT id, decade, row_number() OVER (PARTITION BY id ORDER BY round(p, 6) DESC, pos) AS r FROM c3_long
+),
+c3_pred AS (
+  SELECT x.id, x.expected_decade, x.input_size_group, t.top_decade, t.confidence,
+         CASE WHEN x.expected_decade IS NOT NULL THEN coalesce(t.top_decade = x.expected_decade, false) END
+           AS matches_expected,
+         CASE WHEN x.expected_decade IS NOT NULL THEN 'directed' ELSE 'random' END AS "group"
+  FROM c3_x x LEFT JOIN c3_top t USING (id)
+),
+c3_lab AS (
+  SELECT p.id, p.expected_decade AS expected, coalesce(p.top_decade, 'None') AS predicted,
+         coalesce(p.top_decade, 'None') = p.expected_decade AS top1,
+         coalesce(r.r <= 3, false) AS topk,
+         coalesce(p.confidence, 0.0) AS confidence,
+         coalesce(p.input_size_group, 'unknown') AS size_group,
+         CAST(abs({decade_key("coalesce(p.top_decade, 'None')")} - {decade_key('p.expected_decade')}) // 10 AS BIGINT)
+           AS error
+  FROM c3_pred p LEFT JOIN c3_rank r ON r.id = p.id AND r.decade = p.expected_decade
+  WHERE p.expected_decade IS NOT NULL AND p.expected_decade <> ''
+),
+c3_confusion AS (
+  SELECT expected AS expected_decade, predicted AS predicted_decade, CAST(count(*) AS BIGINT) AS count
+  FROM c3_lab GROUP BY expected, predicted
+),
+c3_classes AS (
+  SELECT expected_decade AS decade FROM c3_confusion UNION SELECT predicted_decade FROM c3_confusion
+),
+c3_report AS (
+  SELECT cl.decade,
+         CAST(coalesce((SELECT sum(count) FROM c3_confusion WHERE expected_decade = cl.decade), 0) AS BIGINT) AS support,
+         CAST(coalesce((SELECT sum(count) FROM c3_confusion WHERE predicted_decade = cl.decade), 0) AS BIGINT)
+           AS predicted,
+         CAST(coalesce((SELECT sum(count) FROM c3_confusion
+                        WHERE expected_decade = cl.decade AND predicted_decade = cl.decade), 0) AS BIGINT) AS tp,
+         coalesce((SELECT string_agg(predicted_decade || ': ' || CAST(count AS VARCHAR), ', '
+                                     ORDER BY count DESC, {decade_key('predicted_decade')})
+                   FROM c3_confusion WHERE expected_decade = cl.decade AND predicted_decade <> cl.decade), '')
+           AS confused_with
+  FROM c3_classes cl
+),
+c3_report2 AS (
+  SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+         CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall
+  FROM c3_report
+),
+c3_report3 AS (
+  SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+  FROM c3_report2
+)"""
+
+ORACLES["c3_prediction_distribution"] = C3 + """
+SELECT coalesce(top_decade, 'None') AS top_decade, CAST(count(*) AS BIGINT) AS count FROM c3_pred GROUP BY 1"""
+
+ORACLES["c3_accuracy"] = C3 + f"""
+SELECT CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE top1) AS BIGINT) AS top1_correct,
+       CAST(count(*) FILTER (WHERE topk) AS BIGINT) AS top3_correct,
+       {r10("CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE top1) / count(*) END", "top1_accuracy")},
+       {r10("CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE topk) / count(*) END", "top3_accuracy")},
+       {r10("CASE WHEN count(*) = 0 THEN 0.0 ELSE sum(error) / count(*) END", "mean_absolute_decade_error")},
+       {r10("coalesce(avg(confidence) FILTER (WHERE top1), 0.0)", "confidence_correct_mean")},
+       {r10("coalesce(avg(confidence) FILTER (WHERE NOT top1), 0.0)", "confidence_wrong_mean")}
+FROM c3_lab"""
+
+ORACLES["c3_rates_by_decade"] = C3 + f"""
+SELECT expected AS expected_decade, CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE top1) AS BIGINT) AS top1_correct,
+       CAST(count(*) FILTER (WHERE topk) AS BIGINT) AS top3_correct,
+       {r10("count(*) FILTER (WHERE top1) / count(*)", "top1_accuracy")},
+       {r10("count(*) FILTER (WHERE topk) / count(*)", "top3_accuracy")}
+FROM c3_lab GROUP BY expected"""
+
+ORACLES["c3_rates_by_size"] = C3 + f"""
+SELECT size_group AS input_size_group, CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE top1) AS BIGINT) AS top1_correct,
+       CAST(count(*) FILTER (WHERE topk) AS BIGINT) AS top3_correct,
+       {r10("count(*) FILTER (WHERE top1) / count(*)", "top1_accuracy")},
+       {r10("count(*) FILTER (WHERE topk) / count(*)", "top3_accuracy")},
+       {r10("sum(confidence) / count(*)", "confidence_mean")}
+FROM c3_lab GROUP BY size_group"""
+
+ORACLES["c3_confusion"] = C3 + """
+SELECT expected_decade, predicted_decade, count FROM c3_confusion"""
+
+ORACLES["c3_classification_report"] = C3 + f"""
+SELECT decade, support, predicted, {r10('precision', 'precision')}, {r10('recall', 'recall')},
+       {r10('f1', 'f1_score')}, tp AS true_positives, predicted - tp AS false_positives,
+       support - tp AS false_negatives, tp AS correct, support - tp AS errors, confused_with
+FROM c3_report3"""
+
+ORACLES["c3_classification_summary"] = C3 + f"""
+SELECT {r10('coalesce(avg(precision), 0.0)', 'macro_precision')},
+       {r10('coalesce(avg(recall), 0.0)', 'macro_recall')},
+       {r10('coalesce(avg(f1), 0.0)', 'macro_f1_score')},
+       {r10('CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(precision * support) / sum(support) END', 'weighted_precision')},
+       {r10('CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(recall * support) / sum(support) END', 'weighted_recall')},
+       {r10('CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(f1 * support) / sum(support) END', 'weighted_f1_score')},
+       {r10('CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(tp) / sum(support) END', 'micro_precision')},
+       {r10('CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(tp) / sum(support) END', 'micro_recall')},
+       {r10('CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(tp) / sum(support) END', 'micro_f1_score')}
+FROM c3_report3"""
+
+ORACLES["c3_sample_summary"] = C3 + """
+SELECT CAST(count(*) AS BIGINT) AS total_inputs,
+       CAST(count(*) FILTER (WHERE "group" = 'directed') AS BIGINT) AS directed_inputs,
+       CAST(count(*) FILTER (WHERE "group" = 'random') AS BIGINT) AS random_inputs,
+       CAST(count(*) FILTER (WHERE "group" = 'directed' AND coalesce(matches_expected, false)) AS BIGINT)
+         AS directed_matches
+FROM c3_pred"""
+
+ORACLES["c3_inputs_by_size"] = C3 + """
+SELECT coalesce(input_size_group, 'unknown') AS input_size_group, CAST(count(*) AS BIGINT) AS inputs
+FROM c3_pred GROUP BY 1"""

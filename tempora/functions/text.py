@@ -212,3 +212,56 @@ def context_window(normalized: Column, phrase: Column, radius: int = 40) -> Colu
     around = F.substring(normalized, start, end - start + 1)
     head = F.substring(normalized, 1, 2 * radius)
     return F.trim(F.when(pos > 0, around).otherwise(head))
+
+
+# ---------------------------------------------------------------------------
+# Model features of a phrase
+# ---------------------------------------------------------------------------
+def strip_whitespace(col: Column) -> Column:
+    """Remove leading/trailing whitespace (Unicode-aware, like Python's strip)."""
+    return F.regexp_replace(col, f"^[{_WS}]+|[{_WS}]+$", "")
+
+
+def cleaned_for_features(phrase: Column) -> Column:
+    """Cleaned phrase, else the lower-cased, whitespace-stripped raw text."""
+    return F.coalesce(clean_phrase(phrase), F.lower(strip_whitespace(phrase)))
+
+
+def with_phrase_features(frame, phrase_col: str = "phrase", out_col: str = "phrase_features"):
+    """Adds the sorted distinct model features of ``phrase_col``.
+
+    Features are ``w:<token>`` for each token, ``b:<t1> <t2>`` for each
+    adjacent token pair, and ``c3:``/``c4:``/``c5:`` character grams of the
+    cleaned text padded with one space on each side, skipping grams made only
+    of whitespace.  The cleaned text and its tokens are staged as columns
+    first (they may need the NFKC UDF, which cannot run inside a lambda).
+    """
+    staged = (frame.withColumn("_fclean", cleaned_for_features(F.col(phrase_col)))
+              .withColumn("_ftoks", tokenize(F.col("_fclean"))))
+    return (staged.withColumn(out_col, features_of_cleaned(F.col("_fclean"), F.col("_ftoks")))
+            .drop("_fclean", "_ftoks"))
+
+
+def features_of_cleaned(cleaned: Column, toks: Column) -> Column:
+    n = F.size(toks)
+    words = F.transform(toks, lambda t: F.concat(F.lit("w:"), t))
+    pair_starts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.transform(pair_starts, lambda i: F.concat(F.lit("b:"), F.element_at(toks, i), F.lit(" "),
+                                                        F.element_at(toks, i + 1)))
+    compact = F.concat(F.lit(" "), cleaned, F.lit(" "))
+    length = F.length(compact)
+    # A gram can only be all whitespace when the text has 3+ whitespace in a row.
+    has_blank_run = compact.rlike(f"[{_WS}]{{3}}")
+    grams = [_char_grams(compact, length, has_blank_run, size) for size in (3, 4, 5)]
+    return F.array_sort(F.array_distinct(F.concat(words, pairs, *grams)))
+
+
+def _char_grams(compact: Column, length: Column, has_blank_run: Column, size: int) -> Column:
+    starts = F.when(length >= size, F.sequence(F.lit(1), length - size + 1)).otherwise(
+        F.array().cast("array<int>"))
+
+    def gram(i: Column) -> Column:
+        return F.call_function("substring", compact, i, F.lit(size))
+
+    kept = F.when(has_blank_run, F.filter(starts, lambda i: ~gram(i).rlike(f"^[{_WS}]+$"))).otherwise(starts)
+    return F.transform(kept, lambda i: F.concat(F.lit(f"c{size}:"), gram(i)))

@@ -83,3 +83,55 @@ def c2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c1_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles_from_documents(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------------------
+# C3: labelled predictions derived from orders
+# ---------------------------------------------------------------------------
+def predictions_from_orders(orders: DataFrame) -> DataFrame:
+    """A predictions frame with the shape the metrics read, derived by fixed
+    arithmetic from every order (so the metrics run over a table that grows
+    with the data and has known edge cases):
+
+    * ``expected_decade``: decade of (order year - 10 * (custkey % 5)); null for
+      every 13th order key (unlabelled rows);
+    * ``decades``: five neighbouring decades around (order year - 10 *
+      (orderkey % 4)) with small integer scores from the keys (see below),
+      normalized (ties happen) and rounded to 6 places; orders with status
+      ``P`` and key divisible by 7 get an empty distribution (no prediction);
+    * ``top_decade``/``confidence``: first maximum of the unrounded distribution;
+    * ``input_size_group`` from the order priority (``5-LOW`` -> missing);
+    * ``group``: ``directed`` when labelled, else ``random``.
+    """
+    from tempora.functions.distribution import round_array, top_of_array
+
+    year = F.year("o_orderdate")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    expected = F.when(key % 13 != 0, decade_of_year(year - 10 * (cust % 5)))
+    center = F.floor((year - 10 * (key % 4)) / 10) * 10
+    scores = [(center - 20, 1 + (key + 2 * cust) % 2), (center - 10, 1 + cust % 3), (center, 1 + key % 3),
+              (center + 10, 1 + (key + cust) % 2), (center + 20, 1 + (cust + 2 * key) % 3)]
+    total = sum((s for _, s in scores[1:]), scores[0][1])
+    dist = F.array(*[F.struct(F.concat(d.cast("bigint").cast("string"), F.lit("s")).alias("decade"),
+                              (s.cast("double") / total).alias("probability")) for d, s in scores])
+    empty = (F.col("o_orderstatus") == "P") & (key % 7 == 0)
+    dist = F.when(empty, F.array().cast("array<struct<decade:string,probability:double>>")).otherwise(dist)
+    size_group = (F.when(F.col("o_orderpriority") == "1-URGENT", "1_token")
+                  .when(F.col("o_orderpriority") == "2-HIGH", "2_4_tokens")
+                  .when(F.col("o_orderpriority") == "3-MEDIUM", "5_8_tokens")
+                  .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "9_15_tokens"))
+    staged = orders.select(key.cast("string").alias("id"), expected.alias("expected_decade"),
+                           dist.alias("_dist"), size_group.alias("input_size_group"))
+    top = top_of_array(F.col("_dist"))
+    return staged.select(
+        "id", "expected_decade", "input_size_group",
+        top["decade"].alias("top_decade"),
+        F.round(top["probability"], 6).alias("confidence"),
+        F.when(F.col("expected_decade").isNotNull(), top["decade"] == F.col("expected_decade")).alias(
+            "matches_expected"),
+        round_array(F.col("_dist"), 6).alias("decades"),
+        F.when(F.col("expected_decade").isNotNull(), "directed").otherwise("random").alias("group"))
+
+
+def c3_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions_from_orders(table(spark, sf_dir, "orders"))

@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from tempora.functions import ids, text  # noqa: E402
-from tempora.operators import corpus, features, metrics, phrases, timelines  # noqa: E402
+from tempora.functions.distribution import top_of_array  # noqa: E402
+from tempora.functions.sizes import input_size  # noqa: E402
+from tempora.models import profile as profile_model  # noqa: E402
+from tempora.operators import corpus, embeddings, features, inspect, metrics, phrases, timelines  # noqa: E402
 from tempora.sources import corpora  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -94,6 +97,125 @@ def c2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r10(_c2_features(spark, sf_dir), "temporal_entropy", "decade_score", "target_probability")
 
 
+def _c2_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.training_set(_c2_features(spark, sf_dir))
+
+
+def c2_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = _c2_training(spark, sf_dir)
+    target = F.col("target")
+    return _r10(train.select(
+        "phrase", "phrase_hash", "features.*",
+        F.array_join(F.map_keys(target), ",").alias("target_decades"),
+        F.aggregate(F.map_values(target), F.lit(0.0), lambda a, v: a + v).alias("target_sum")),
+        "temporal_entropy", "target_sum")
+
+
+def c2_target_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.target_census(_c2_training(spark, sf_dir))
+
+
+def c2_target_census_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r10(corpus.target_census_summary(_c2_training(spark, sf_dir)), "ratio_most_least")
+
+
+def _c2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timelines.phrase_statistics(c2_phrases(spark, sf_dir))
+
+
+def c2_embedding_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_manifest(_c2_statistics(spark, sf_dir))
+
+
+def c2_real_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = embeddings.embedding_manifest(_c2_statistics(spark, sf_dir))
+    return embeddings.generate_embeddings(manifest, "hashed-trigram-64", max_rows=None)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked phrases: every part name, as written and upper-cased with noise."""
+    part = corpora.table(spark, sf_dir, "part")
+    return part.select(F.col("p_name").alias("phrase")).union(
+        part.select(F.concat(F.upper("p_name"), F.lit("!!")).alias("phrase")))
+
+
+def c2_inspect_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r10(inspect.inspect_targets(_asked(spark, sf_dir), _c2_features(spark, sf_dir)),
+                "target_probability", "decade_score")
+
+
+def c2_inspect_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r10(inspect.inspect_timeline(_asked(spark, sf_dir), _c2_timelines(spark, sf_dir)),
+                "normalized_frequency")
+
+
+def c2_dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.dataset_counts({
+        "phrases": c2_phrases(spark, sf_dir),
+        "phrase_timelines": _c2_timelines(spark, sf_dir),
+        "phrase_statistics": _c2_statistics(spark, sf_dir),
+        "features": _c2_features(spark, sf_dir),
+        "embeddings": c2_embedding_manifest(spark, sf_dir),
+    })
+
+
+def c2_corpus_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r10(corpus.corpus_distribution(phrases=c2_phrases(spark, sf_dir), features=_c2_features(spark, sf_dir)),
+                "value")
+
+
+def _c2_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring inputs derived from every part: the name, the name with its type,
+    the type alone, or the name upper-cased with punctuation."""
+    part = corpora.table(spark, sf_dir, "part")
+    variant = F.col("p_size") % 4
+    phrase = (F.when(variant == 0, F.col("p_name"))
+              .when(variant == 1, F.concat_ws(" ", "p_name", F.lower("p_type")))
+              .when(variant == 2, F.lower("p_type"))
+              .otherwise(F.concat(F.upper("p_name"), F.lit("!!"))))
+    expected = F.when(F.col("p_size") % 3 == 0, "1990s").when(F.col("p_size") % 3 == 1, "2000s")
+    return part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"),
+                       phrase.alias("phrase"), expected.alias("expected_decade"))
+
+
+def c2_phrase_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _c2_inputs(spark, sf_dir).select("phrase").distinct()
+    feats = text.with_phrase_features(inputs, "phrase", "f")
+    return feats.select("phrase", F.size("f").alias("n_features"),
+                        F.sha2(F.array_join("f", "|"), 256).alias("features_hash"))
+
+
+def _c2_model(spark: SparkSession, sf_dir: str, balanced: bool = False) -> profile_model.ProfileModel:
+    return profile_model.fit_profile(_c2_training(spark, sf_dir), balance_decades=balanced)
+
+
+def c2_profile_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r10(_c2_model(spark, sf_dir).prior, "prior")
+
+
+def c2_profile_prior_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r10(_c2_model(spark, sf_dir, balanced=True).prior, "prior")
+
+
+def c2_profile_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r10(_c2_model(spark, sf_dir).weights, "weight")
+
+
+def c2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r10(_c2_model(spark, sf_dir).profile, "probability")
+
+
+def c2_profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = profile_model.score_profile(_c2_model(spark, sf_dir), _c2_inputs(spark, sf_dir))
+    return _r10(scored.select("id", F.inline("decades")), "probability")
+
+
+def c2_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = _c2_inputs(spark, sf_dir)
+    scored = profile_model.score_profile(_c2_model(spark, sf_dir), inputs)
+    return profile_model.prediction_table(inputs, scored).drop("decades")
+
+
 # ---------------------------------------------------------------------------
 # C3: labelled predictions from orders -> evaluation metrics
 # ---------------------------------------------------------------------------
@@ -167,6 +289,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c2_ranked_years": c2_ranked_years,
         "c2_ranked_decades": c2_ranked_decades,
         "c2_features": c2_features,
+        "c2_training_set": c2_training_set,
+        "c2_target_census": c2_target_census,
+        "c2_target_census_summary": c2_target_census_summary,
+        "c2_embedding_manifest": c2_embedding_manifest,
+        "c2_real_embeddings": c2_real_embeddings,
+        "c2_inspect_targets": c2_inspect_targets,
+        "c2_inspect_timeline": c2_inspect_timeline,
+        "c2_dataset_counts": c2_dataset_counts,
+        "c2_corpus_distribution": c2_corpus_distribution,
+        "c2_phrase_features": c2_phrase_features,
+        "c2_profile_prior": c2_profile_prior,
+        "c2_profile_prior_balanced": c2_profile_prior_balanced,
+        "c2_profile_weights": c2_profile_weights,
+        "c2_profile": c2_profile,
+        "c2_profile_scores": c2_profile_scores,
+        "c2_predictions": c2_predictions,
         "c3_prediction_distribution": c3_prediction_distribution,
         "c3_accuracy": c3_accuracy,
         "c3_rates_by_decade": c3_rates_by_decade,

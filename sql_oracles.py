@@ -39,8 +39,9 @@ def normalize_chars(col: str) -> str:
             f"OR x <> {col}[i - 1] OR regexp_matches(x, '[\\pL\\pN_{WS}]')), ''), '[{WS}]+', ' ', 'g'))")
 
 
-def clean_ctes(name: str, source: str, keys: str, expr: str, token_window: bool = False) -> str:
-    """Two CTEs: ``{name}_v`` (candidate value) and ``{name}`` (keys, phrase)."""
+def clean_ctes(name: str, source: str, keys: str, expr: str, token_window: bool = False,
+               out: str = "phrase") -> str:
+    """Two CTEs: ``{name}_v`` (candidate value) and ``{name}`` (keys, cleaned value as ``out``)."""
     if token_window:
         lowered = f"regexp_replace(regexp_replace({expr}, '-{{2,}}', '-', 'g'), '''{{2,}}', '''', 'g')"
     else:
@@ -60,7 +61,7 @@ def clean_ctes(name: str, source: str, keys: str, expr: str, token_window: bool
               WHEN regexp_matches(v, '{FIVE_RUN}') THEN NULL
               WHEN len(tok) = 0 THEN NULL
               WHEN len(list_filter(tok, lambda x: NOT list_contains({STOP}, x))) = 0 THEN NULL
-              ELSE array_to_string(tok, ' ') END AS phrase
+              ELSE array_to_string(tok, ' ') END AS {out}
   FROM {name}_v
 )"""
 
@@ -414,3 +415,235 @@ FROM c3_pred"""
 ORACLES["c3_inputs_by_size"] = C3 + """
 SELECT coalesce(input_size_group, 'unknown') AS input_size_group, CAST(count(*) AS BIGINT) AS inputs
 FROM c3_pred GROUP BY 1"""
+
+
+# ---------------------------------------------------------------------------
+# C2 derived reports, model features and the profile model
+# ---------------------------------------------------------------------------
+def strip_ws(expr: str) -> str:
+    return f"regexp_replace({expr}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def features_ctes(name: str, source: str, keys: str, phrase: str) -> str:
+    """CTEs ending in ``{name}(keys, feats)``: sorted distinct model features
+    (``keys`` must include the phrase column)."""
+    grams = " || ".join(
+        f"list_transform(list_filter(generate_series(1, length(cp) - {k - 1}), "
+        f"lambda i: NOT regexp_full_match(substring(cp, i, {k}), '[{WS}]+')), "
+        f"lambda i: 'c{k}:' || substring(cp, i, {k}))" for k in (3, 4, 5))
+    return clean_ctes(f"{name}_cl", source, keys, phrase, out="_clean") + f""",
+{name}_c AS (
+  SELECT {keys}, coalesce(_clean, lower({strip_ws(phrase)})) AS cleaned FROM {name}_cl
+),
+{name}_ch AS (
+  SELECT {keys}, cleaned, {chars('cleaned')} AS _chars FROM {name}_c
+),
+{name}_t AS (
+  SELECT {keys}, cleaned, ' ' || cleaned || ' ' AS cp,
+         regexp_extract_all(lower({normalize_chars('_chars')}), '{TOKEN}') AS toks
+  FROM {name}_ch
+),
+{name} AS (
+  SELECT {keys}, list_sort(list_distinct(
+           list_transform(toks, lambda t: 'w:' || t)
+           || list_transform(generate_series(1, len(toks) - 1), lambda i: 'b:' || toks[i] || ' ' || toks[i + 1])
+           || {grams})) AS feats
+  FROM {name}_t
+)"""
+
+
+C2_MODEL = C2_PHRASES + f""",
+c2_tw AS (
+  SELECT DISTINCT phrase, ln(1 + coalesce(nullif(total_count, 0), 1)) AS w,
+         CAST(coalesce(nullif(total_count, 0), 1) AS DOUBLE) AS cnt
+  FROM c2_features
+),
+c2_tentries AS (
+  SELECT f.phrase, f.decade, f.target_probability AS p, t.w, t.cnt FROM c2_features f JOIN c2_tw t USING (phrase)
+),
+c2_bal_tot AS (SELECT decade, sum(p * cnt) AS total FROM c2_tentries GROUP BY decade),
+c2_balance AS (
+  SELECT decade, (SELECT avg(total) FROM c2_bal_tot) / total AS balance FROM c2_bal_tot WHERE total > 0
+),
+c2_prior_raw AS (
+  SELECT e.decade, sum(e.p * e.w) AS s, sum(e.p * coalesce(b.balance, 1.0) * e.w) AS sb
+  FROM c2_tentries e LEFT JOIN c2_balance b USING (decade) GROUP BY e.decade
+),
+c2_prior AS (
+  SELECT decade, {decade_key('decade')} AS decade_key,
+         CASE WHEN sum(greatest(s, 0)) OVER () > 0 THEN greatest(s, 0) / sum(greatest(s, 0)) OVER ()
+              ELSE 1.0 / count(*) OVER () END AS prior,
+         CASE WHEN sum(greatest(sb, 0)) OVER () > 0 THEN greatest(sb, 0) / sum(greatest(sb, 0)) OVER ()
+              ELSE 1.0 / count(*) OVER () END AS prior_balanced
+  FROM c2_prior_raw
+),""" + features_ctes("c2_tfeat", "c2_tw", "phrase", "phrase") + f""",
+c2_feat AS (SELECT phrase, unnest(feats) AS feature FROM c2_tfeat),
+c2_fweights AS (
+  SELECT f.feature, sum(t.w) AS weight FROM c2_feat f JOIN c2_tw t USING (phrase)
+  GROUP BY f.feature HAVING sum(t.w) >= 0.0001
+),
+c2_fscores AS (
+  SELECT f.feature, e.decade, sum(e.p * e.w) AS s FROM c2_feat f JOIN c2_tentries e USING (phrase)
+  GROUP BY f.feature, e.decade
+),
+c2_fprofile AS (
+  SELECT feature, decade, sum(greatest(s, 0)) OVER (PARTITION BY feature) AS tot,
+         greatest(s, 0) / nullif(sum(greatest(s, 0)) OVER (PARTITION BY feature), 0) AS probability
+  FROM c2_fscores
+),
+c2_mweights AS (
+  SELECT w.feature, w.weight, bool_or(p.tot <= 0) AS uniform
+  FROM c2_fweights w JOIN c2_fprofile p USING (feature) GROUP BY w.feature, w.weight
+),
+c2_mprofile AS (
+  SELECT feature, decade, probability FROM c2_fprofile
+  WHERE tot > 0 AND probability > 0 AND feature IN (SELECT feature FROM c2_fweights)
+),
+c2_inputs AS (
+  SELECT 'P' || CAST(p_partkey AS VARCHAR) AS id,
+         CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN concat_ws(' ', p_name, lower(p_type))
+              WHEN 2 THEN lower(p_type) ELSE upper(p_name) || '!!' END AS phrase,
+         CASE p_size % 3 WHEN 0 THEN '1990s' WHEN 1 THEN '2000s' END AS expected_decade
+  FROM part
+),""" + features_ctes("c2_ifeat", "c2_inputs", "id, phrase", "phrase") + f""",
+c2_imatch AS (
+  SELECT f.id, f.feature, least(4.0, ln(1 + w.weight)) AS eff, w.uniform
+  FROM (SELECT id, unnest(feats) AS feature FROM c2_ifeat) f JOIN c2_mweights w USING (feature)
+),
+c2_iw AS (
+  SELECT id, sum(eff) AS infl, sum(CASE WHEN uniform THEN eff ELSE 0.0 END) AS uinfl FROM c2_imatch GROUP BY id
+),
+c2_is AS (
+  SELECT m.id, p.decade, sum(m.eff * p.probability) AS s
+  FROM c2_imatch m JOIN c2_mprofile p USING (feature) WHERE NOT m.uniform GROUP BY m.id, p.decade
+),
+c2_iscore AS (
+  SELECT i.id, pr.decade, pr.decade_key,
+         greatest((0.35 * pr.prior + coalesce(s.s, 0.0) + coalesce(w.uinfl, 0.0) / (SELECT count(*) FROM c2_prior))
+                  / (0.35 + coalesce(w.infl, 0.0)), 0.0) AS raw
+  FROM c2_inputs i CROSS JOIN c2_prior pr
+  LEFT JOIN c2_iw w ON w.id = i.id
+  LEFT JOIN c2_is s ON s.id = i.id AND s.decade = pr.decade
+),
+c2_idist AS (
+  SELECT id, decade, decade_key,
+         CASE WHEN sum(raw) OVER (PARTITION BY id) > 0 THEN raw / sum(raw) OVER (PARTITION BY id)
+              ELSE 1.0 / count(*) OVER (PARTITION BY id) END AS probability
+  FROM c2_iscore
+)"""
+
+C2_ARGMAX = """,
+c2_argmax AS (
+  SELECT phrase, decade FROM c2_features
+  QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY target_probability DESC,
+                             """ + decade_key("decade") + """, decade) = 1
+),
+c2_census AS (SELECT decade, CAST(count(*) AS BIGINT) AS n, min(phrase) AS first FROM c2_argmax GROUP BY decade)"""
+
+C2_ASKED = ",\n" + """c2_asked_raw AS (
+  SELECT DISTINCT asked FROM (SELECT p_name AS asked FROM part UNION ALL SELECT upper(p_name) || '!!' FROM part)
+),""" + clean_ctes("c2_asked_cl", "c2_asked_raw", "asked", "asked") + f""",
+c2_asked AS (
+  SELECT asked, coalesce(phrase, lower({strip_ws('asked')})) AS cleaned_phrase,
+         {phrase_hash(f"coalesce(phrase, lower({strip_ws('asked')}))")} AS phrase_hash
+  FROM c2_asked_cl
+)"""
+
+ORACLES["c2_training_set"] = C2_PHRASES + f"""
+SELECT phrase, phrase_hash, first_year, last_year, peak_year, peak_decade, total_count,
+       {r10('temporal_entropy', 'temporal_entropy')},
+       string_agg(decade, ',' ORDER BY {decade_key('decade')}, decade) AS target_decades,
+       {r10('sum(target_probability)', 'target_sum')}
+FROM c2_features
+GROUP BY phrase, phrase_hash, first_year, last_year, peak_year, peak_decade, total_count, temporal_entropy"""
+
+ORACLES["c2_target_census"] = C2_PHRASES + C2_ARGMAX + """
+SELECT decade, n AS rows, first AS first_phrase FROM c2_census"""
+
+ORACLES["c2_target_census_summary"] = C2_PHRASES + C2_ARGMAX + f"""
+SELECT CAST((SELECT count(DISTINCT phrase) FROM c2_features) AS BIGINT) AS rows,
+       CAST(count(*) AS BIGINT) AS unique_decades,
+       (SELECT decade FROM c2_census ORDER BY n DESC, first LIMIT 1) AS most_common_decade,
+       CAST(max(n) AS BIGINT) AS most_common_rows,
+       CAST(min(n) AS BIGINT) AS least_common_rows,
+       (SELECT string_agg(decade, ',' ORDER BY first) FROM c2_census WHERE n = (SELECT min(n) FROM c2_census))
+         AS least_common_decades,
+       {r10('max(n) / min(n)', 'ratio_most_least')}
+FROM c2_census"""
+
+ORACLES["c2_embedding_manifest"] = C2_PHRASES + """
+SELECT phrase_hash, min(phrase) AS phrase, 'pending' AS model_name,
+       sha256('{"model_name": "pending", "phrase_hash": "' || phrase_hash || '"}') AS embedding_id,
+       'not_generated' AS embedding_status
+FROM c2_stats GROUP BY phrase_hash"""
+
+ORACLES["c2_inspect_targets"] = C2_PHRASES + C2_ASKED + f"""
+SELECT a.asked, a.cleaned_phrase, a.phrase_hash, f.decade, {r10('f.target_probability', 'target_probability')},
+       f.decade_raw_count, {r10('f.decade_score', 'decade_score')},
+       CAST(row_number() OVER (PARTITION BY a.asked ORDER BY f.target_probability DESC, f.decade) AS INTEGER)
+         AS target_rank,
+       row_number() OVER (PARTITION BY a.asked ORDER BY f.target_probability DESC, f.decade) <= 5 AS is_top
+FROM c2_asked a JOIN c2_features f USING (phrase_hash)"""
+
+ORACLES["c2_inspect_timeline"] = C2_PHRASES + C2_ASKED + f"""
+SELECT a.asked, a.cleaned_phrase, a.phrase_hash, t.year, t.decade, t.raw_count,
+       {r10('t.normalized_frequency', 'normalized_frequency')}
+FROM c2_asked a JOIN c2_timelines t USING (phrase_hash)"""
+
+ORACLES["c2_dataset_counts"] = C2_PHRASES + """
+SELECT 'phrases' AS dataset, CAST(count(*) AS BIGINT) AS rows FROM c2_phrases
+UNION ALL SELECT 'phrase_timelines', count(*) FROM c2_timelines
+UNION ALL SELECT 'phrase_statistics', count(*) FROM c2_stats
+UNION ALL SELECT 'features', count(*) FROM c2_features
+UNION ALL SELECT 'embeddings', count(DISTINCT phrase_hash) FROM c2_stats"""
+
+ORACLES["c2_corpus_distribution"] = C2_PHRASES + """
+SELECT 'phrase_rows_by_decade' AS section, decade, CAST(count(*) AS DOUBLE) AS value FROM c2_phrases GROUP BY decade
+UNION ALL
+SELECT 'phrase_frequency_by_decade', decade, CAST(coalesce(sum(frequency), 0) AS DOUBLE) FROM c2_phrases GROUP BY decade
+UNION ALL
+SELECT 'unique_phrases_by_decade', decade, CAST(count(DISTINCT phrase_hash) AS DOUBLE) FROM c2_phrases GROUP BY decade
+UNION ALL
+SELECT 'feature_rows_by_decade', decade, CAST(count(*) AS DOUBLE) FROM c2_features GROUP BY decade
+UNION ALL
+SELECT 'target_probability_by_decade', decade, round(coalesce(sum(target_probability), 0.0), 10)
+FROM c2_features GROUP BY decade"""
+
+ORACLES["c2_phrase_features"] = C2_MODEL + """,
+c2_dp AS (SELECT DISTINCT phrase FROM c2_inputs),""" + features_ctes("c2_pf", "c2_dp", "phrase", "phrase") + """
+SELECT phrase, CAST(len(feats) AS INTEGER) AS n_features, sha256(array_to_string(feats, '|')) AS features_hash
+FROM c2_pf"""
+
+ORACLES["c2_profile_prior"] = C2_MODEL + f"""
+SELECT decade, decade_key, {r10('prior', 'prior')} FROM c2_prior"""
+
+ORACLES["c2_profile_prior_balanced"] = C2_MODEL + f"""
+SELECT decade, decade_key, {r10('prior_balanced', 'prior')} FROM c2_prior"""
+
+ORACLES["c2_profile_weights"] = C2_MODEL + f"""
+SELECT feature, {r10('weight', 'weight')}, uniform FROM c2_mweights"""
+
+ORACLES["c2_profile"] = C2_MODEL + f"""
+SELECT feature, decade, {r10('probability', 'probability')} FROM c2_mprofile"""
+
+ORACLES["c2_profile_scores"] = C2_MODEL + f"""
+SELECT id, decade, {r10('probability', 'probability')} FROM c2_idist"""
+
+ORACLES["c2_predictions"] = C2_MODEL + f""",
+c2_itop AS (
+  SELECT id, decade AS top_decade, round(probability, 6) AS confidence FROM c2_idist
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY probability DESC, decade_key) = 1
+),
+c2_isize AS (
+  SELECT id, CAST(len(list_filter(string_split_regex(phrase, '[{WS}]+'), lambda x: x <> '')) AS INTEGER) AS tc,
+         CAST(length(phrase) AS INTEGER) AS cc
+  FROM c2_inputs
+)
+SELECT i.id, i.phrase, i.expected_decade,
+       CASE WHEN s.tc = 1 THEN '1_token' WHEN s.tc <= 4 THEN '2_4_tokens' WHEN s.tc <= 8 THEN '5_8_tokens'
+            WHEN s.tc <= 15 THEN '9_15_tokens' ELSE '16_plus_tokens' END AS input_size_group,
+       s.tc AS token_count, s.cc AS char_count, s.cc > 90 AS over_90_chars,
+       t.top_decade, t.confidence,
+       CASE WHEN i.expected_decade IS NOT NULL AND i.expected_decade <> '' THEN t.top_decade = i.expected_decade END
+         AS matches_expected
+FROM c2_inputs i JOIN c2_itop t USING (id) JOIN c2_isize s USING (id)"""

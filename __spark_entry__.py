@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from tempora.functions import ids, text  # noqa: E402
-from tempora.functions.distribution import top_of_array  # noqa: E402
 from tempora.functions.sizes import input_size  # noqa: E402
 from tempora.models import profile as profile_model  # noqa: E402
-from tempora.operators import corpus, embeddings, features, inspect, metrics, phrases, timelines  # noqa: E402
+from tempora.models import tfidf as tfidf_model  # noqa: E402
+from tempora.operators import corpus, embeddings, features, inspect, metrics, phrases, sampling  # noqa: E402
+from tempora.operators import timelines, validation  # noqa: E402
 from tempora.sources import corpora  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -58,6 +59,18 @@ def c1_corpus_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       phrases=c1_phrase_rows(spark, sf_dir))
 
 
+def c1_sampled_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = sampling.sample_articles(corpora.c1_articles(spark, sf_dir))
+    return sampled.groupBy("year", "month").agg(F.count(F.lit(1)).cast("bigint").alias("articles"))
+
+
+def c1_input_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.table(spark, sf_dir, "documents")
+    size = input_size(F.col("text"))
+    return docs.select("doc_id", size["token_count"].alias("token_count"), size["char_count"].alias("char_count"),
+                       size["group"].alias("input_size_group"), size["over_90_chars"].alias("over_90_chars"))
+
+
 # ---------------------------------------------------------------------------
 # C2: phrase occurrences from orders
 # ---------------------------------------------------------------------------
@@ -210,6 +223,52 @@ def c2_profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r10(scored.select("id", F.inline("decades")), "probability")
 
 
+def _c1_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = c1_phrase_rows(spark, sf_dir)
+    return features.training_set(features.build_features(timelines.phrase_timelines(found), min_count=2))
+
+
+# The TF-IDF model is trained on the first rows (phrase order) of the training
+# set, as its reference usage does (a row cap is part of that feature).
+TFIDF_TRAINING_ROWS = 5000
+
+
+def c1_tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tfidf_model.fit_tfidf(_c1_training(spark, sf_dir), max_rows=TFIDF_TRAINING_ROWS)
+    scored = tfidf_model.score_tfidf(model, _c2_inputs(spark, sf_dir))
+    return scored.select("id", F.inline("decades"))
+
+
+def _validation_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An input set from every part: the name as id (names repeat), the type
+    as phrase, and a decade from the size that is sometimes out of range."""
+    part = corpora.table(spark, sf_dir, "part")
+    return part.select(F.col("p_name").alias("id"), F.lower("p_type").alias("phrase"),
+                       F.concat((F.lit(1850) + (F.col("p_size") % 20) * 10).cast("string"), F.lit("s"))
+                       .alias("expected_decade"))
+
+
+VALIDATION_MIN_PER_DECADE = 100
+
+
+def c2_validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.validation_errors(_validation_inputs(spark, sf_dir), require_expected=True,
+                                        min_per_decade=VALIDATION_MIN_PER_DECADE)
+
+
+def c2_validation_decades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.decade_counts(_validation_inputs(spark, sf_dir))
+
+
+def c2_validation_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.size_counts(_validation_inputs(spark, sf_dir))
+
+
+def c2_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.validation_summary(_validation_inputs(spark, sf_dir), require_expected=True,
+                                         min_per_decade=VALIDATION_MIN_PER_DECADE)
+
+
 def c2_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = _c2_inputs(spark, sf_dir)
     scored = profile_model.score_profile(_c2_model(spark, sf_dir), inputs)
@@ -282,6 +341,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c1_articles": c1_articles,
         "c1_phrases": c1_phrase_rows,
         "c1_corpus_distribution": c1_corpus_distribution,
+        "c1_sampled_articles": c1_sampled_articles,
+        "c1_input_sizes": c1_input_sizes,
         "c2_phrases": c2_phrases,
         "c2_yearly_totals": c2_yearly_totals,
         "c2_timelines": c2_timelines,
@@ -305,6 +366,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c2_profile": c2_profile,
         "c2_profile_scores": c2_profile_scores,
         "c2_predictions": c2_predictions,
+        "c1_tfidf_scores": c1_tfidf_scores,
+        "c2_validation_errors": c2_validation_errors,
+        "c2_validation_decades": c2_validation_decades,
+        "c2_validation_sizes": c2_validation_sizes,
+        "c2_validation_summary": c2_validation_summary,
         "c3_prediction_distribution": c3_prediction_distribution,
         "c3_accuracy": c3_accuracy,
         "c3_rates_by_decade": c3_rates_by_decade,

@@ -647,3 +647,65 @@ SELECT i.id, i.phrase, i.expected_decade,
        CASE WHEN i.expected_decade IS NOT NULL AND i.expected_decade <> '' THEN t.top_decade = i.expected_decade END
          AS matches_expected
 FROM c2_inputs i JOIN c2_itop t USING (id) JOIN c2_isize s USING (id)"""
+
+
+# ---------------------------------------------------------------------------
+# Sampling, input sizes, input-set validation
+# ---------------------------------------------------------------------------
+ORACLES["c1_sampled_articles"] = "WITH " + C1_DOCS.lstrip() + """,
+b AS (SELECT min(year) AS s, max(year) AS e FROM c1_docs),
+plan_years AS (
+  SELECT DISTINCT least(greatest(CAST(t.d AS INTEGER), b.s), b.e) AS year
+  FROM b, range(CAST(b.s // 10 * 10 AS BIGINT), CAST(b.e // 10 * 10 + 1 AS BIGINT), 10) AS t(d)
+),
+plan AS (SELECT year, m AS month FROM plan_years, (VALUES (1), (4), (7), (10)) AS v(m))
+SELECT year, month, CAST(count(*) AS BIGINT) AS articles
+FROM c1_docs WHERE (year, month) IN (SELECT year, month FROM plan) GROUP BY year, month"""
+
+_TOKENS = f"len(list_filter(string_split_regex(text, '[{WS}]+'), lambda x: x <> ''))"
+ORACLES["c1_input_sizes"] = f"""
+SELECT doc_id, CAST({_TOKENS} AS INTEGER) AS token_count, CAST(length(text) AS INTEGER) AS char_count,
+       CASE WHEN {_TOKENS} = 1 THEN '1_token' WHEN {_TOKENS} <= 4 THEN '2_4_tokens'
+            WHEN {_TOKENS} <= 8 THEN '5_8_tokens' WHEN {_TOKENS} <= 15 THEN '9_15_tokens'
+            ELSE '16_plus_tokens' END AS input_size_group,
+       length(text) > 90 AS over_90_chars
+FROM documents"""
+
+V_IN = """WITH v_in AS (
+  SELECT p_name AS id, lower(p_type) AS phrase, CAST(1850 + (p_size % 20) * 10 AS VARCHAR) || 's' AS expected
+  FROM part
+),
+decs AS (SELECT CAST(t.y AS VARCHAR) || 's' AS decade FROM range(1850, 2030, 10) AS t(y)),
+v_counts AS (
+  SELECT expected AS decade, CAST(count(*) AS BIGINT) AS n FROM v_in WHERE expected IN (SELECT decade FROM decs)
+  GROUP BY expected
+),
+v_checked AS (
+  SELECT decade, n FROM v_counts
+  UNION ALL SELECT decade, 0 FROM decs WHERE NOT EXISTS (SELECT 1 FROM v_counts)
+),
+v_errors AS (
+  SELECT 'missing id' AS error, coalesce(phrase, '') AS subject FROM v_in WHERE id IS NULL OR id = ''
+  UNION ALL SELECT 'missing phrase', coalesce(id, '') FROM v_in WHERE phrase IS NULL OR phrase = ''
+  UNION ALL SELECT 'invalid expected_decade', concat_ws(' ', coalesce(id, ''), 'expected_decade=' || expected)
+    FROM v_in WHERE expected IS NOT NULL AND expected <> '' AND expected NOT IN (SELECT decade FROM decs)
+  UNION ALL SELECT 'missing expected_decade', coalesce(id, '') FROM v_in WHERE expected IS NULL OR expected = ''
+  UNION ALL SELECT 'duplicate id', id FROM v_in WHERE id IS NOT NULL AND id <> '' GROUP BY id HAVING count(*) > 1
+  UNION ALL SELECT 'decade below minimum', printf('decade %s has %d examples; expected at least %d', decade, n, 100)
+    FROM v_checked WHERE n < 100
+)"""
+
+ORACLES["c2_validation_errors"] = V_IN + "\nSELECT error, subject FROM v_errors"
+ORACLES["c2_validation_decades"] = V_IN + "\nSELECT decade, n AS rows FROM v_counts"
+ORACLES["c2_validation_sizes"] = V_IN + f""",
+v_sz AS (
+  SELECT len(list_filter(string_split_regex(phrase, '[{WS}]+'), lambda x: x <> '')) AS tc
+  FROM v_in WHERE phrase IS NOT NULL AND phrase <> ''
+)
+SELECT CASE WHEN tc = 1 THEN '1_token' WHEN tc <= 4 THEN '2_4_tokens' WHEN tc <= 8 THEN '5_8_tokens'
+            WHEN tc <= 15 THEN '9_15_tokens' ELSE '16_plus_tokens' END AS input_size_group,
+       CAST(count(*) AS BIGINT) AS rows
+FROM v_sz GROUP BY 1"""
+ORACLES["c2_validation_summary"] = V_IN + """
+SELECT CAST((SELECT count(*) FROM v_in) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS errors, count(*) = 0 AS valid
+FROM v_errors"""

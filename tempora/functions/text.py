@@ -147,8 +147,7 @@ def is_stopword(col: Column) -> Column:
 # Phrase cleaning (general form, any input text)
 # ---------------------------------------------------------------------------
 def _strip_phrase_ends(col: Column) -> Column:
-    # btrim(str, chars) strips any of the given characters from both ends.
-    return F.call_function("btrim", col, F.lit(PHRASE_STRIP_CHARS))
+    return F.btrim(col, F.lit(PHRASE_STRIP_CHARS))
 
 
 def _phrase_checks(value: Column) -> Column:
@@ -183,7 +182,7 @@ def clean_token_window(window: Column) -> Column:
     value = F.when(window.contains("--") | window.contains("''"),
                    F.regexp_replace(window, r"([-'])\1+", "$1")).otherwise(window)
     value = F.when(value.endswith("-") | value.endswith("'"),
-                   F.call_function("rtrim", value, F.lit(PHRASE_STRIP_CHARS))).otherwise(value)
+                   F.rtrim(value, F.lit(PHRASE_STRIP_CHARS))).otherwise(value)
     length = F.length(value)
     letters = length - F.length(F.translate(value, "abcdefghijklmnopqrstuvwxyz", ""))
     keep = ((length >= MIN_PHRASE_CHARS) & (length <= MAX_PHRASE_CHARS)
@@ -193,7 +192,7 @@ def clean_token_window(window: Column) -> Column:
 
 def clean_or_lower(col: Column) -> Column:
     """Cleaned phrase, falling back to lower+strip of the raw text."""
-    return F.coalesce(clean_phrase(col), F.lower(F.call_function("btrim", col)))
+    return F.coalesce(clean_phrase(col), F.lower(strip_whitespace(col)))
 
 
 # ---------------------------------------------------------------------------

@@ -220,7 +220,7 @@ def c2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c2_profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = profile_model.score_profile(_c2_model(spark, sf_dir), _c2_inputs(spark, sf_dir))
-    return _r10(scored.select("id", F.inline("decades")), "probability")
+    return _r10(scored.select("id", F.inline_outer("decades")), "probability")
 
 
 def _c1_training(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +236,7 @@ TFIDF_TRAINING_ROWS = 5000
 def c1_tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tfidf_model.fit_tfidf(_c1_training(spark, sf_dir), max_rows=TFIDF_TRAINING_ROWS)
     scored = tfidf_model.score_tfidf(model, _c2_inputs(spark, sf_dir))
-    return scored.select("id", F.inline("decades"))
+    return scored.select("id", F.inline_outer("decades"))
 
 
 def _validation_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:

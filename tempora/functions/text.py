@@ -198,14 +198,16 @@ def clean_or_lower(col: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Context window around the first occurrence of a phrase
 # ---------------------------------------------------------------------------
-def context_window(normalized: Column, phrase: Column, radius: int = 40) -> Column:
+def context_window(normalized: Column, phrase: Column, radius: int = 40, lowered: Column | None = None) -> Column:
     """Text around the first occurrence of ``phrase`` in ``normalized``.
 
-    The search is on the lower-cased text; the slice is taken from the
-    normalized text and trimmed.  When the phrase is not a substring (tokens
-    were separated by punctuation), the first ``2 * radius`` characters.
+    The search is on the lower-cased text (pass ``lowered`` when it is already
+    computed); the slice is taken from the normalized text and trimmed.  When
+    the phrase is not a substring (tokens were separated by punctuation), the
+    first ``2 * radius`` characters.
     """
-    pos = F.instr(F.lower(normalized), phrase)  # 1-based, 0 when absent
+    lowered = F.lower(normalized) if lowered is None else lowered
+    pos = F.call_function("instr", lowered, phrase)  # 1-based, 0 when absent
     start = F.greatest(pos - radius, F.lit(1))
     end = F.least(pos - 1 + F.length(phrase) + radius, F.length(normalized))  # inclusive, 1-based
     around = F.substring(normalized, start, end - start + 1)

@@ -54,7 +54,7 @@ def metric_tables(predictions: DataFrame) -> dict[str, DataFrame]:
 
 
 def _write_run(frame: DataFrame, path: str, run_id: str) -> None:
-    (frame.withColumn("run_id", F.lit(run_id)).coalesce(1).write.mode("overwrite")
+    (frame.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
 
 
@@ -63,7 +63,11 @@ def run_evaluation(spark: SparkSession, input_path: str, output_dir: str, model=
     run_id = run_id or _dt.datetime.now().strftime("%Y%m%d-%H%M%S")
     base = output_dir.rstrip("/")
     inputs = read_inputs(spark, input_path)
-    predictions = predict(spark, inputs, model)
+    # Predictions are written once (they are an output) and every metric
+    # table reads them back instead of re-scoring the inputs.
+    _write_run(predict(spark, inputs, model), f"{base}/prediction_rows", run_id)
+    predictions = (spark.read.parquet(f"{base}/prediction_rows").where(F.col("run_id") == run_id)
+                   .drop("run_id"))
     write_predictions_jsonl(predictions, f"{base}/predictions/run_id={run_id}")
     for name, table in metric_tables(predictions).items():
         _write_run(table, f"{base}/{name}", run_id)

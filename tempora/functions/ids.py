@@ -19,14 +19,22 @@ _SHORT_ESCAPES = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r
 
 
 def json_string_body(col: Column) -> Column:
-    """The inside of a JSON string literal for ``col`` (quotes not included)."""
-    escaped = F.replace(col, F.lit("\\"), F.lit("\\\\"))
-    escaped = F.replace(escaped, F.lit('"'), F.lit('\\"'))
+    """The inside of a JSON string literal for ``col`` (quotes not included).
+
+    Texts without quotes, backslashes or control characters pass unchanged;
+    the per-character control escapes only run when a control character is
+    present.  Stage the result as its own column when it feeds several
+    hashes, so the branches stay lazy.
+    """
+    quoted = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    escaped = quoted
     for code in range(0x20):
         ch = chr(code)
         target = _SHORT_ESCAPES.get(ch, f"\\u{code:04x}")
         escaped = F.replace(escaped, F.lit(ch), F.lit(target))
-    return F.when(col.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(col)
+    return (F.when(col.rlike(r"[\x00-\x1f]"), escaped)
+            .when(col.rlike(r'["\\]'), quoted)
+            .otherwise(col))
 
 
 def json_value(value: Column | str | int | None, numeric: bool = False, plain: bool = False) -> Column:

@@ -60,10 +60,12 @@ def write_partitioned(frame: DataFrame, root: str, dataset: str, sort_by: str |
 
     Other partitions are left alone (dynamic partition overwrite).  Month
     folders are written zero-padded (``month=01``).  Rows are clustered by
-    partition first so each task writes few files.
+    partition with a *rebalance* (not a plain repartition): AQE keeps each
+    month in as few tasks as possible, splits a month that is too large for
+    one task (a hot month cannot pin one writer) and merges small ones.
     """
     staged = frame.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
-    staged = staged.repartition(*PARTITION_COLUMNS)
+    staged = staged.hint("rebalance", *PARTITION_COLUMNS)
     if sort_by:
         staged = staged.sortWithinPartitions(*PARTITION_COLUMNS, sort_by)
     (staged.write.mode("overwrite")

@@ -155,7 +155,7 @@ def _phrase_checks(value: Column) -> Column:
     length = F.length(value)
     letters = length - F.length(F.translate(value, "abcdefghijklmnopqrstuvwxyz", ""))
     return ((length >= MIN_PHRASE_CHARS) & (length <= MAX_PHRASE_CHARS)
-            & ((letters / length) >= MIN_ALPHA_SHARE)
+            & (F.try_divide(letters, length) >= MIN_ALPHA_SHARE)
             & ~value.rlike(r"(.)\1{4,}"))
 
 
@@ -186,7 +186,7 @@ def clean_token_window(window: Column) -> Column:
     length = F.length(value)
     letters = length - F.length(F.translate(value, "abcdefghijklmnopqrstuvwxyz", ""))
     keep = ((length >= MIN_PHRASE_CHARS) & (length <= MAX_PHRASE_CHARS)
-            & ((letters / length) >= MIN_ALPHA_SHARE) & ~is_stopword(value))
+            & (F.try_divide(letters, length) >= MIN_ALPHA_SHARE) & ~is_stopword(value))
     return F.when(keep, value)
 
 

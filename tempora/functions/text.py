@@ -198,7 +198,8 @@ def clean_or_lower(col: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Context window around the first occurrence of a phrase
 # ---------------------------------------------------------------------------
-def context_window(normalized: Column, phrase: Column, radius: int = 40, lowered: Column | None = None) -> Column:
+def context_window(normalized: Column, phrase: Column, radius: int = 40, lowered: Column | None = None,
+                   text_length: Column | None = None, head: Column | None = None) -> Column:
     """Text around the first occurrence of ``phrase`` in ``normalized``.
 
     The search is on the lower-cased text (pass ``lowered`` when it is already
@@ -207,11 +208,12 @@ def context_window(normalized: Column, phrase: Column, radius: int = 40, lowered
     first ``2 * radius`` characters.
     """
     lowered = F.lower(normalized) if lowered is None else lowered
+    text_length = F.length(normalized) if text_length is None else text_length
+    head = F.substring(normalized, 1, 2 * radius) if head is None else head
     pos = F.call_function("instr", lowered, phrase)  # 1-based, 0 when absent
     start = F.greatest(pos - radius, F.lit(1))
-    end = F.least(pos - 1 + F.length(phrase) + radius, F.length(normalized))  # inclusive, 1-based
+    end = F.least(pos - 1 + F.length(phrase) + radius, text_length)  # inclusive, 1-based
     around = F.substring(normalized, start, end - start + 1)
-    head = F.substring(normalized, 1, 2 * radius)
     return F.trim(F.when(pos > 0, around).otherwise(head))
 
 

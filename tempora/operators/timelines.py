@@ -30,6 +30,20 @@ from pyspark.sql import functions as F
 # A year column produced by the ingest is 4-digit, so this bounds the number
 # of rows of the yearly totals table (the broadcast side).
 MAX_DISTINCT_YEARS = 10_000
+# Peak year as one long: count * 2^14 + (2^14 - 1 - year).  The maximum is
+# the highest count and, among equal counts, the earliest year; a primitive
+# max keeps the aggregate hash-based (a struct min would force a sort-based
+# aggregate over the whole timeline).  Years are < 2^14 and counts < 2^49.
+_YEAR_BITS = 14
+_YEAR_MASK = (1 << _YEAR_BITS) - 1
+
+
+def _pack_peak(count, year):
+    return count.cast("bigint") * (1 << _YEAR_BITS) + (F.lit(_YEAR_MASK) - year.cast("bigint"))
+
+
+def _unpack_year(packed):
+    return (F.lit(_YEAR_MASK) - (packed.bitwiseAND(F.lit(_YEAR_MASK)))).cast("int")
 
 
 def yearly_totals(phrases: DataFrame) -> DataFrame:
@@ -55,12 +69,12 @@ def phrase_statistics_from_timelines(timelines: DataFrame, partitions: int | Non
                     F.min("year").alias("first_year"),
                     F.max("year").alias("last_year"),
                     # earliest year among those with the highest count
-                    F.min(F.struct((-F.col("raw_count")).alias("neg"), F.col("year").alias("year"))).alias("peak")))
+                    F.max(_pack_peak(F.col("raw_count"), F.col("year"))).alias("peak")))
     totals = (decades.groupBy("phrase_hash", "phrase")
               .agg(F.min("first_year").alias("first_year"),
                    F.max("last_year").alias("last_year"),
                    F.sum("decade_count").alias("total_count"),
-                   F.min("peak").alias("peak"),
+                   F.max("peak").alias("peak"),
                    F.min(F.struct((-F.col("decade_count")).alias("neg"), F.col("decade").alias("decade"))).alias("peak_d"),
                    F.count(F.lit(1)).alias("n_decades"),
                    F.collect_list(F.col("decade_count")).alias("decade_counts")))
@@ -72,7 +86,7 @@ def phrase_statistics_from_timelines(timelines: DataFrame, partitions: int | Non
         "phrase_hash", "phrase",
         F.col("first_year").cast("int").alias("first_year"),
         F.col("last_year").cast("int").alias("last_year"),
-        F.col("peak.year").cast("int").alias("peak_year"),
+        _unpack_year(F.col("peak")).alias("peak_year"),
         F.col("peak_d.decade").alias("peak_decade"),
         F.col("total_count").cast("bigint").alias("total_count"),
         entropy.alias("temporal_entropy"))

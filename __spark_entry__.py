@@ -335,7 +335,26 @@ def entry(spark: SparkSession) -> DataFrame:
     return _r10(timelines.phrase_statistics(found), "temporal_entropy")
 
 
+def _llm():
+    """The queries of the subpackage ``llm`` and of the pipeline, or None where those files are absent."""
+    try:
+        import corpus_pipeline
+        from tempora.llm import queries as llm_queries
+    except ModuleNotFoundError as error:
+        if error.name not in ("corpus_pipeline", "tempora.llm"):
+            raise
+        return None
+    return llm_queries, corpus_pipeline
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = _own_queries()
+    if llm := _llm():
+        found |= llm[0].QUERIES | {"pipeline": llm[1].run}
+    return found
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "c1_normalized": c1_normalized,
         "c1_articles": c1_articles,
@@ -387,4 +406,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from sql_oracles import ORACLES
 
-    return {name: sql for name, sql in ORACLES.items() if name in queries()}
+    found = {name: sql for name, sql in ORACLES.items() if name in _own_queries()}
+    if llm := _llm():
+        found |= llm[0].ORACLES | ({"pipeline": llm[1].ORACLE_SQL} if llm[1].ORACLE_SQL else {})
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, language_id, ngram_join, pii, url_filter
+from . import bpe, chat_format, decontaminate, exact_dedup, language_id, ngram_join, pii, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encoded(_table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
     "op4_bpe": op4_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
@@ -87,6 +93,22 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
         FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_seen USING (doc_id)
     """,
+    "op5_suffix_dedup": r"""
+        WITH hexed AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        places AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM hexed),
+        again AS MATERIALIZED (
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY substr(h, 2 * i + 1, 200) ORDER BY doc_id, i) AS r FROM places) WHERE r > 1),
+        marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS fresh FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+        spans AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM runs GROUP BY doc_id, run),
+        gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans),
+        cut AS (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans, max(e) AS last,
+                       string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept
+                FROM gaps JOIN hexed USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM hexed LEFT JOIN cut USING (doc_id)
+    """,
     "op6_decontaminate": r"""
         WITH doc_words AS MATERIALIZED (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -7,23 +7,43 @@ predecessor kept, written as Parquet and read again; all but the last return the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tempora.llm import bpe, exact_dedup
+from tempora.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join
 from tempora.llm.shared import handed_over
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (no text, or no letter in it) go."""
+    profiles = language_id.trained(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.recognised(docs, profiles)
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts (but for white space) one stays."""
     return exact_dedup.without_copies(docs)
 
 
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by a similarity of 0.8 or more on five-word shingles, the one with the least doc_id stays."""
+    return ngram_join.one_of_each(docs, k=5, percent=80)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by items of the table ``benchmark`` go."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left."""
     return bpe.digests(bpe.encoded(docs))
 
 
 STAGES = [
+    ("language_id", language_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("ngram_join", ngram_join_stage),
+    ("decontaminate", decontaminate_stage),
     ("bpe", bpe_stage),
 ]
 

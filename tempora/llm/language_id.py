@@ -132,6 +132,19 @@ def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language can be told (not ``und``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = docs_columns.index("text")
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.nearest(text)[0] != UNKNOWN for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    docs_columns = docs.columns
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of the documents that no profile learns from, by a checksum of the id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -9,7 +9,9 @@ their kind; loopy message passing carries the evidence through the document, so
 one place is found where it stands without its usual marks.  Spans that the field adds never overlap base spans.
 
 The weights maximise the pseudo-likelihood of labels from the base spans, on the documents with the ``max_training``
-least hashes of their ids (those of them with at most ``MOST_TOKENS`` tokens).  All else covers all documents.
+least hashes of their ids (those of them with at most ``MOST_TOKENS`` tokens).  A token outside all base spans that repeats one
+inside is neither an example nor evidence there: it is what the field is to find.  Weights of skip links start from, and are
+drawn to, ``AGREEMENT`` for equal labels.  All else covers all documents.
 
 Defined cases: a null text counts as empty (no spans); repeated rows are rows of their own; rows with a null id are
 labelled and can train; without any token to train on the field adds nothing; an empty table gives an empty
@@ -36,6 +38,7 @@ MAX_TRAINING = 4000
 MOST_TOKENS = 256
 ROUNDS = 20
 CONFIDENCE = 0.8
+AGREEMENT = 3.0
 KEY_DIGITS = 5
 
 # Patterns of the base spans.  Where a pattern can only fail again from inside a run it is tried at the run's start alone.
@@ -194,16 +197,28 @@ def fitted(graph: Graph, steps: int = 300, rate: float = 0.5, decay: float = 1e-
     x = np.zeros((n, FEATURES + 2 * LABELS))
     np.put_along_axis(x, np.asarray(graph.shapes), 1.0, axis=1)
     labels = np.asarray(graph.labels)
-    if graph.links:
-        a, b, kind = np.asarray(graph.links).T
-        for here, there in ((a, b), (b, a)):
-            np.add.at(x, (here, FEATURES + kind * LABELS + labels[there]), 1.0)
-    y = np.eye(LABELS)[labels]
-    w, pace = np.zeros((x.shape[1], LABELS)), np.full((x.shape[1], LABELS), 1e-8)
+    a, b, kind = np.asarray(graph.links or np.empty((0, 3)), dtype=np.int64).T
+    # Tokens that repeat a labelled one, directly or by others, without a label of their own.
+    known, repeats = labels > 0, kind == 1
+    while True:
+        reached = known.copy()
+        reached[a[repeats & known[b]]] = True
+        reached[b[repeats & known[a]]] = True
+        if (reached == known).all():
+            break
+        known = reached
+    example = (labels > 0) | ~known
+    for here, there in ((a, b), (b, a)):
+        seen = example[there]
+        np.add.at(x, (here[seen], FEATURES + kind[seen] * LABELS + labels[there[seen]]), 1.0)
+    x, y = x[example], np.eye(LABELS)[labels[example]]
+    prior = np.zeros((x.shape[1], LABELS))
+    prior[FEATURES + LABELS:] = AGREEMENT * np.eye(LABELS)
+    w, pace = prior.copy(), np.full(prior.shape, 1e-8)
     for _ in range(steps):
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        slope = x.T @ (p / p.sum(axis=1, keepdims=True) - y) / n + decay * w
+        slope = x.T @ (p / p.sum(axis=1, keepdims=True) - y) / len(x) + decay * (w - prior)
         pace += slope ** 2
         w -= rate * slope / np.sqrt(pace)
     links = w[FEATURES:].reshape(2, LABELS, LABELS)

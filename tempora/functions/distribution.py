@@ -19,17 +19,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def normalize_over_key(frame: DataFrame, keys: list[str], value_col: str, out_col: str,
-                       keep_total: bool = False) -> DataFrame:
-    window = Window.partitionBy(*keys) if keys else Window.partitionBy()
+def normalize_over_key(frame: DataFrame, keys: list[str], value_col: str, out_col: str) -> DataFrame:
+    if not keys:
+        raise ValueError("normalize_over_key needs at least one key: without one all rows would be one group")
+    window = Window.partitionBy(*keys)
     clamped = F.greatest(F.col(value_col), F.lit(0.0))
     total = F.sum(clamped).over(window)
     count = F.count(F.lit(1)).over(window)
     result = (frame.withColumn("_total", total).withColumn("_n", count)
               .withColumn(out_col, F.when(F.col("_total") > 0, clamped / F.col("_total"))
                           .otherwise(F.lit(1.0) / F.col("_n"))))
-    result = result.drop("_n")
-    return result if keep_total else result.drop("_total")
+    return result.drop("_n", "_total")
 
 
 def normalize_array(dist: Column) -> Column:
@@ -65,10 +65,6 @@ def round_array(dist: Column, places: int = 6) -> Column:
                                                 F.round(e["probability"], places).alias("probability")))
 
 
-def as_map(dist: Column) -> Column:
-    return F.map_from_entries(dist)
-
-
 def safe_divide(numerator: Column, denominator: Column) -> Column:
     """numerator / denominator, 0.0 when the denominator is 0."""
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))

@@ -12,8 +12,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
+# Fixed value: the source name inside article ids.
+ARCHIVE_SOURCE = "nyt"
 # JSON short escapes for control characters, in code order.
 _SHORT_ESCAPES = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
 
@@ -75,7 +76,7 @@ def phrase_hash(phrase: Column, cleaned: bool = True) -> Column:
     return stable_hash({"phrase": phrase}, plain={"phrase"} if cleaned else None)
 
 
-def article_id(source_id: Column, source: str = "nyt") -> Column:
+def article_id(source_id: Column, source: str = ARCHIVE_SOURCE) -> Column:
     """Article id from the archive's source name and the document's source id."""
     return stable_hash({"source": F.lit(source), "source_id": source_id}, plain={"source"})
 
@@ -83,7 +84,3 @@ def article_id(source_id: Column, source: str = "nyt") -> Column:
 def embedding_id(phrase_hash_col: Column, model_name: Column | str) -> Column:
     model = F.lit(model_name) if isinstance(model_name, str) else model_name
     return stable_hash({"model_name": model, "phrase_hash": phrase_hash_col}, plain={"phrase_hash"})
-
-
-def is_numeric(dtype) -> bool:
-    return isinstance(dtype, NumericType)

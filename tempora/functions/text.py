@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
-# Fixed values (must equal the reference behaviour for identical results)
+# Fixed values
 # ---------------------------------------------------------------------------
 # English stopwords used by phrase extraction and cleaning, in alphabetical order.
 STOPWORDS = (
@@ -230,8 +230,8 @@ def cleaned_for_features(phrase: Column) -> Column:
     return F.coalesce(clean_phrase(phrase), F.lower(strip_whitespace(phrase)))
 
 
-def with_phrase_features(frame, phrase_col: str = "phrase", out_col: str = "phrase_features"):
-    """Adds the sorted distinct model features of ``phrase_col``.
+def with_phrase_features(frame, phrase_col: str = "phrase", out_col: str = "phrase_features", ordered: bool = True):
+    """Adds the distinct model features of ``phrase_col``, sorted unless ``ordered`` is false.
 
     Features are ``w:<token>`` for each token, ``b:<t1> <t2>`` for each
     adjacent token pair, and ``c3:``/``c4:``/``c5:`` character grams of the
@@ -241,11 +241,11 @@ def with_phrase_features(frame, phrase_col: str = "phrase", out_col: str = "phra
     """
     staged = (frame.withColumn("_fclean", cleaned_for_features(F.col(phrase_col)))
               .withColumn("_ftoks", tokenize(F.col("_fclean"))))
-    return (staged.withColumn(out_col, features_of_cleaned(F.col("_fclean"), F.col("_ftoks")))
+    return (staged.withColumn(out_col, features_of_cleaned(F.col("_fclean"), F.col("_ftoks"), ordered))
             .drop("_fclean", "_ftoks"))
 
 
-def features_of_cleaned(cleaned: Column, toks: Column) -> Column:
+def features_of_cleaned(cleaned: Column, toks: Column, ordered: bool = True) -> Column:
     n = F.size(toks)
     words = F.transform(toks, lambda t: F.concat(F.lit("w:"), t))
     pair_starts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -256,7 +256,8 @@ def features_of_cleaned(cleaned: Column, toks: Column) -> Column:
     # A gram can only be all whitespace when the text has 3+ whitespace in a row.
     has_blank_run = compact.rlike(f"[{_WS}]{{3}}")
     grams = [_char_grams(compact, length, has_blank_run, size) for size in (3, 4, 5)]
-    return F.array_sort(F.array_distinct(F.concat(words, pairs, *grams)))
+    found = F.array_distinct(F.concat(words, pairs, *grams))
+    return F.sort_array(found) if ordered else found
 
 
 def _char_grams(compact: Column, length: Column, has_blank_run: Column, size: int) -> Column:

@@ -31,11 +31,6 @@ def month_from_path(path: Column) -> Column:
     return F.regexp_extract(path, r"/([0-9]+)\.json$", 1).try_cast("int")
 
 
-def year_from_path(path: Column) -> Column:
-    """Year from the parent folder of a ``.../<YYYY>/<MM>.json`` file."""
-    return F.regexp_extract(path, r"/([0-9]+)/[^/]+\.json$", 1).try_cast("int")
-
-
 def decade_of_year(year: Column) -> Column:
     return F.concat((F.floor(year / 10) * 10).cast("bigint").cast("string"), F.lit("s"))
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tempora.functions.timeparts import decade_key
 from tempora.operators.timelines import phrase_statistics_from_timelines
 
+# Decades are labels of 4-digit years.
+MAX_DECADES = 1000
 STAT_COLUMNS = ["first_year", "last_year", "peak_year", "peak_decade", "total_count", "temporal_entropy"]
 
 
@@ -54,17 +56,21 @@ def build_features(timelines: DataFrame, statistics: DataFrame | None = None, mi
 def training_set(features: DataFrame) -> DataFrame:
     """One row per phrase: ``phrase, phrase_hash, features struct, target map``.
 
-    The target entries of a phrase are at most one per decade, so the collected
-    list per phrase is bounded by the number of decades.
+    The decades of the features (at most ``MAX_DECADES``, read once) give one
+    sum each, so the aggregate holds primitives only; the statistics of a
+    phrase are part of its key.
     """
-    entry = F.struct(decade_key(F.col("decade")).alias("key"), F.col("decade").alias("decade"),
-                     F.col("target_probability").alias("p"))
-    grouped = (features.groupBy("phrase_hash")
-               .agg(F.first("phrase").alias("phrase"),
-                    *[F.first(c).alias(c) for c in STAT_COLUMNS],
-                    F.array_sort(F.collect_list(entry)).alias("_entries")))
-    target = F.map_from_arrays(F.transform("_entries", lambda e: e["decade"]),
-                               F.transform("_entries", lambda e: e["p"]))
+    found = (features.select("decade").distinct().orderBy(decade_key(F.col("decade")), "decade")
+             .limit(MAX_DECADES + 1).collect())
+    if len(found) > MAX_DECADES:
+        raise ValueError(f"features cannot have more than {MAX_DECADES} decades")
+    decades = [row["decade"] for row in found]
+    grouped = features.groupBy("phrase_hash", "phrase", *STAT_COLUMNS).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *(F.sum(F.when(F.col("decade") == d, F.col("target_probability"))).alias(f"_p{i}") for i, d in enumerate(decades)))
+    entries = F.array(*(F.struct(F.lit(d).alias("decade"), F.col(f"_p{i}").alias("p")) for i, d in enumerate(decades)))
+    entries = entries.cast("array<struct<decade:string,p:double>>")
+    target = F.map_from_entries(F.filter(entries, lambda e: e["p"].isNotNull()))
     return grouped.select(
         "phrase", "phrase_hash",
         F.struct(F.col("first_year").cast("int").alias("first_year"),
@@ -74,9 +80,3 @@ def training_set(features: DataFrame) -> DataFrame:
                  F.col("total_count").cast("bigint").alias("total_count"),
                  F.col("temporal_entropy").cast("double").alias("temporal_entropy")).alias("features"),
         target.alias("target"))
-
-
-def target_long(training: DataFrame) -> DataFrame:
-    """Training rows exploded to (phrase, phrase_hash, total_count, decade, probability)."""
-    return training.select("phrase", "phrase_hash", F.col("features.total_count").alias("total_count"),
-                           F.explode_outer("target").alias("decade", "probability"))

@@ -15,9 +15,11 @@ Row-level semantics:
   label, 0 when none);
 * size group: ``input_size_group`` or ``unknown``.
 
-Every output is a small aggregate; the work before it is one projection, so
-all metrics are a single pass plus tiny group-bys.  Ratios with a zero
-denominator are 0.
+All labelled tables come from one aggregate, :func:`labelled_counts`: a row per
+(expected, predicted, size group, top-1 hit, top-k hit) with the number of rows,
+the sum of errors and the sum of confidences — as small as the label set.  Every
+function takes predictions or that aggregate, so a job that wants several tables
+scans its predictions once.  Ratios with a zero denominator are 0.
 """
 
 from __future__ import annotations
@@ -30,30 +32,43 @@ from tempora.functions.timeparts import decade_key
 
 NONE_LABEL = "None"
 UNKNOWN_SIZE = "unknown"
+#: A pivot by predicted label has one column per label; more than this is refused.
+MAX_PIVOT_LABELS = 1000
+_DISTRIBUTION = "array<struct<decade:string,probability:double>>"
 
 
-def _rank_of_expected(decades: Column, expected: Column) -> Column:
-    """1-based rank of ``expected`` in the stable probability-desc order, or null."""
-    indexed = F.transform(decades, lambda e, i: F.struct(e["decade"].alias("d"), e["probability"].alias("p"),
-                                                         i.alias("i")))
-    hits = F.filter(indexed, lambda e: e["d"] == expected)
-    mine = F.element_at(hits, 1)
-    ahead = F.filter(indexed, lambda e: (e["p"] > mine["p"]) | ((e["p"] == mine["p"]) & (e["i"] < mine["i"])))
-    return F.when(F.size(hits) > 0, F.size(ahead) + 1)
+def _size_group() -> Column:
+    """``input_size_group``, or ``unknown`` where it is missing or empty."""
+    return F.coalesce(F.nullif(F.col("input_size_group").cast("string"), F.lit("")), F.lit(UNKNOWN_SIZE))
 
 
 def labelled_rows(predictions: DataFrame, top_k: int = 3) -> DataFrame:
     expected = F.col("expected_decade").cast("string")
     predicted = F.coalesce(F.col("top_decade").cast("string"), F.lit(NONE_LABEL))
-    decades = F.coalesce(F.col("decades"), F.array().cast("array<struct<decade:string,probability:double>>"))
-    rank = _rank_of_expected(decades, expected)
-    return (predictions.where(expected.isNotNull() & (expected != ""))
-            .select(expected.alias("expected"), predicted.alias("predicted"),
-                    (predicted == expected).alias("top1"),
-                    F.coalesce(rank <= top_k, F.lit(False)).alias("topk"),
-                    F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"),
-                    F.coalesce(F.col("input_size_group").cast("string"), F.lit(UNKNOWN_SIZE)).alias("size_group"),
-                    F.floor(F.abs(decade_key(predicted) - decade_key(expected)) / 10).cast("bigint").alias("error")))
+    rows = predictions.where(expected.isNotNull() & (expected != "")).select(
+        expected.alias("expected"), predicted.alias("predicted"), F.coalesce("decades", F.array().cast(_DISTRIBUTION)).alias("decades"),
+        F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), _size_group().alias("size_group"))
+    # Rank of the expected decade: its place, then one look at all others.  Place and probability are columns of their
+    # own, each read more than once, so they are worked out once a row.
+    placed = rows.withColumn("_at", F.array_position(F.transform("decades", lambda e: e["decade"]), F.col("expected")).cast("int"))
+    own = placed.withColumn("_own", F.get("decades", F.col("_at") - 1)["probability"])
+    ahead = F.aggregate(F.transform("decades", lambda e, i: F.when((e["probability"] > F.col("_own")) | ((e["probability"] == F.col("_own")) & (i < F.col("_at") - 1)), 1).otherwise(0)),
+                        F.lit(0), lambda n, one: n + one)
+    return own.select("expected", "predicted", (F.col("predicted") == F.col("expected")).alias("top1"),
+                      ((F.col("_at") > 0) & (ahead < top_k)).alias("topk"), "confidence", "size_group",
+                      F.floor(F.abs(decade_key(F.col("predicted")) - decade_key(F.col("expected"))) / 10).cast("bigint").alias("error"))
+
+
+def labelled_counts(predictions: DataFrame, top_k: int = 3) -> DataFrame:
+    """expected, predicted, size_group, top1, topk, n, error_sum, confidence_sum (a frame that is one already is returned)."""
+    if {"expected", "n", "error_sum", "confidence_sum"} <= set(predictions.columns):
+        return predictions
+    return labelled_rows(predictions, top_k).groupBy("expected", "predicted", "size_group", "top1", "topk").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("error").alias("error_sum"), F.sum("confidence").alias("confidence_sum"))
+
+
+def _sum_where(condition: str | None, value: str = "n") -> Column:
+    return F.coalesce(F.sum(F.when(F.col(condition), F.col(value)) if condition else F.col(value)), F.lit(0))
 
 
 def prediction_distribution(predictions: DataFrame) -> DataFrame:
@@ -63,66 +78,69 @@ def prediction_distribution(predictions: DataFrame) -> DataFrame:
 
 
 def accuracy_summary(predictions: DataFrame, top_k: int = 3) -> DataFrame:
-    rows = labelled_rows(predictions, top_k)
-    total = F.count(F.lit(1))
-    hits = F.count_if("top1")
-    return rows.agg(
+    counts = labelled_counts(predictions, top_k).withColumn("miss", ~F.col("top1"))
+    total, hits, near = _sum_where(None), _sum_where("top1"), _sum_where("topk")
+    return counts.agg(
         total.cast("bigint").alias("total"),
         hits.cast("bigint").alias("top1_correct"),
-        F.count_if("topk").cast("bigint").alias("top3_correct"),
+        near.cast("bigint").alias("top3_correct"),
         safe_divide(hits, total).alias("top1_accuracy"),
-        safe_divide(F.count_if("topk"), total).alias("top3_accuracy"),
-        safe_divide(F.sum("error"), total).alias("mean_absolute_decade_error"),
-        F.coalesce(F.avg(F.when(F.col("top1"), F.col("confidence"))), F.lit(0.0)).alias("confidence_correct_mean"),
-        F.coalesce(F.avg(F.when(~F.col("top1"), F.col("confidence"))), F.lit(0.0)).alias("confidence_wrong_mean"))
-
-
-def _rates(rows: DataFrame, key: str, out_key: str, with_confidence: bool) -> DataFrame:
-    total = F.count(F.lit(1))
-    aggs = [total.cast("bigint").alias("total"),
-            F.count_if("top1").cast("bigint").alias("top1_correct"),
-            F.count_if("topk").cast("bigint").alias("top3_correct"),
-            safe_divide(F.count_if("top1"), total).alias("top1_accuracy"),
-            safe_divide(F.count_if("topk"), total).alias("top3_accuracy")]
+        safe_divide(near, total).alias("top3_accuracy"),
+        safe_divide(_sum_where(None, "error_sum"), total).alias("mean_absolute_decade_error"),
+        safe_divide(_sum_where("top1", "confidence_sum"), hits).alias("confidence_correct_mean"),
+        safe_divide(_sum_where("miss", "confidence_sum"), _sum_where("miss")).alias("confidence_wrong_mean"))
+
+
+def _rates(counts: DataFrame, key: str, out_key: str, with_confidence: bool) -> DataFrame:
+    total, hits, near = _sum_where(None), _sum_where("top1"), _sum_where("topk")
+    aggs = [total.cast("bigint").alias("total"), hits.cast("bigint").alias("top1_correct"),
+            near.cast("bigint").alias("top3_correct"),
+            safe_divide(hits, total).alias("top1_accuracy"), safe_divide(near, total).alias("top3_accuracy")]
     if with_confidence:
-        aggs.append(safe_divide(F.sum("confidence"), total).alias("confidence_mean"))
-    return rows.groupBy(F.col(key).alias(out_key)).agg(*aggs)
+        aggs.append(safe_divide(_sum_where(None, "confidence_sum"), total).alias("confidence_mean"))
+    return counts.groupBy(F.col(key).alias(out_key)).agg(*aggs)
 
 
 def rates_by_expected_decade(predictions: DataFrame, top_k: int = 3) -> DataFrame:
-    return _rates(labelled_rows(predictions, top_k), "expected", "expected_decade", False)
+    return _rates(labelled_counts(predictions, top_k), "expected", "expected_decade", False)
 
 
 def rates_by_input_size(predictions: DataFrame, top_k: int = 3) -> DataFrame:
-    return _rates(labelled_rows(predictions, top_k), "size_group", "input_size_group", True)
+    return _rates(labelled_counts(predictions, top_k), "size_group", "input_size_group", True)
 
 
 def confusion_counts(predictions: DataFrame) -> DataFrame:
     """(expected_decade, predicted_decade, count) over labelled rows."""
-    return (labelled_rows(predictions).groupBy(F.col("expected").alias("expected_decade"),
-                                               F.col("predicted").alias("predicted_decade"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+    return (labelled_counts(predictions).groupBy(F.col("expected").alias("expected_decade"),
+                                                 F.col("predicted").alias("predicted_decade"))
+            .agg(F.sum("n").cast("bigint").alias("count")))
+
+
+def _labels(counts: DataFrame) -> DataFrame:
+    return (counts.select(F.col("expected_decade").alias("label"))
+            .union(counts.select(F.col("predicted_decade").alias("label"))).distinct())
 
 
 def confusion_matrix(predictions: DataFrame) -> DataFrame:
-    """Square matrix over the union of expected and predicted labels: one row
-    per label (column ``expected``), one column per label in decade order,
-    0 where a pair never occurs.
-
-    The labels are decades (plus ``None``), a domain bounded by the 4-digit
-    years, so the list of pivot values read here is small; Spark's own pivot
-    without values reads the same list.
-    """
+    """The square matrix over the union of expected and predicted labels in long, dense form: (expected, predicted,
+    count), 0 where a pair never occurs."""
     counts = confusion_counts(predictions)
-    labels_df = (counts.select(F.col("expected_decade").alias("label"))
-                 .union(counts.select(F.col("predicted_decade").alias("label"))).distinct())
-    labels = [r["label"] for r in labels_df.orderBy(decade_key(F.col("label")), "label").limit(10_000).collect()]
-    pivoted = counts.groupBy("expected_decade").pivot("predicted_decade", labels).agg(F.sum("count"))
-    square = (labels_df.join(pivoted, labels_df["label"] == pivoted["expected_decade"], "left")
-              .drop("expected_decade"))
-    if labels:
-        square = square.na.fill(0, subset=labels)
-    return square.withColumnRenamed("label", "expected")
+    # One row with the array of labels, unfolded to both sides: as many rows as the matrix has cells.
+    cells = (_labels(counts).agg(F.collect_set("label").alias("labels"))
+             .select(F.explode("labels").alias("expected"), "labels").select("expected", F.explode("labels").alias("predicted")))
+    found = counts.select(F.col("expected_decade").alias("expected"), F.col("predicted_decade").alias("predicted"), "count")
+    return cells.join(found, ["expected", "predicted"], "left").select(
+        "expected", "predicted", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
+
+
+def confusion_pivot(predictions: DataFrame, max_labels: int = MAX_PIVOT_LABELS) -> DataFrame:
+    """The matrix as a table for people: one row and one column per label, in decade order.  More labels than
+    ``max_labels`` are an error, none is left out."""
+    cells = confusion_matrix(predictions)
+    rows = cells.select("expected").distinct().orderBy(decade_key(F.col("expected")), "expected").limit(max_labels + 1).collect()
+    if len(rows) > max_labels:
+        raise ValueError(f"more than {max_labels} labels: use confusion_matrix")
+    return cells.groupBy("expected").pivot("predicted", [r["expected"] for r in rows]).agg(F.sum("count"))
 
 
 def classification_report(predictions: DataFrame) -> DataFrame:
@@ -186,5 +204,4 @@ def sample_summary(predictions: DataFrame) -> DataFrame:
 
 
 def inputs_by_size(predictions: DataFrame) -> DataFrame:
-    label = F.coalesce(F.col("input_size_group").cast("string"), F.lit(UNKNOWN_SIZE))
-    return predictions.groupBy(label.alias("input_size_group")).agg(F.count(F.lit(1)).cast("bigint").alias("inputs"))
+    return predictions.groupBy(_size_group().alias("input_size_group")).agg(F.count(F.lit(1)).cast("bigint").alias("inputs"))

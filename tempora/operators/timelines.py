@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.functions.timeparts import decade_key
+
 # A year column produced by the ingest is 4-digit, so this bounds the number
 # of rows of the yearly totals table (the broadcast side).
 MAX_DISTINCT_YEARS = 10_000
@@ -61,7 +63,13 @@ def phrase_timelines(phrases: DataFrame) -> DataFrame:
 
 def phrase_statistics_from_timelines(timelines: DataFrame, partitions: int | None = None) -> DataFrame:
     """Statistics per phrase from a timeline frame (``phrase_hash, phrase, year,
-    decade, raw_count``)."""
+    decade, raw_count``).
+
+    Both levels are sums, minima and maxima of primitives (hash aggregates):
+    the entropy of counts ``c`` with sum ``T`` over ``n`` decades is
+    ``(ln T - sum(c ln c) / T) / ln n``, and the peak decade is packed like the
+    peak year.
+    """
     by_phrase = (timelines.repartition(partitions, "phrase_hash") if partitions
                  else timelines.repartition("phrase_hash"))
     decades = (by_phrase.groupBy("phrase_hash", "phrase", "decade")
@@ -70,24 +78,24 @@ def phrase_statistics_from_timelines(timelines: DataFrame, partitions: int | Non
                     F.max("year").alias("last_year"),
                     # earliest year among those with the highest count
                     F.max(_pack_peak(F.col("raw_count"), F.col("year"))).alias("peak")))
+    count = F.col("decade_count").cast("double")
     totals = (decades.groupBy("phrase_hash", "phrase")
               .agg(F.min("first_year").alias("first_year"),
                    F.max("last_year").alias("last_year"),
                    F.sum("decade_count").alias("total_count"),
                    F.max("peak").alias("peak"),
-                   F.min(F.struct((-F.col("decade_count")).alias("neg"), F.col("decade").alias("decade"))).alias("peak_d"),
+                   F.max(_pack_peak(F.col("decade_count"), decade_key(F.col("decade")))).alias("peak_decade"),
                    F.count(F.lit(1)).alias("n_decades"),
-                   F.collect_list(F.col("decade_count")).alias("decade_counts")))
+                   F.sum(F.when(count > 0, count * F.ln(count)).otherwise(0.0)).alias("count_logs")))
     total = F.col("total_count").cast("double")
-    plogp = F.aggregate(F.col("decade_counts"), F.lit(0.0),
-                        lambda acc, c: acc + (c / total) * F.ln(c / total))
-    entropy = F.when(F.col("n_decades") <= 1, F.lit(0.0)).otherwise(-plogp / F.ln(F.col("n_decades").cast("double")))
+    entropy = F.when(F.col("n_decades") <= 1, F.lit(0.0)).otherwise(
+        (F.ln(total) - F.col("count_logs") / total) / F.ln(F.col("n_decades").cast("double")))
     return totals.select(
         "phrase_hash", "phrase",
         F.col("first_year").cast("int").alias("first_year"),
         F.col("last_year").cast("int").alias("last_year"),
         _unpack_year(F.col("peak")).alias("peak_year"),
-        F.col("peak_d.decade").alias("peak_decade"),
+        F.concat(_unpack_year(F.col("peak_decade")).cast("string"), F.lit("s")).alias("peak_decade"),
         F.col("total_count").cast("bigint").alias("total_count"),
         entropy.alias("temporal_entropy"))
 

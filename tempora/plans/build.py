@@ -26,10 +26,13 @@ from tempora.operators.features import build_features, training_set
 from tempora.operators.ingest import ARTICLE_COLUMNS, articles_with_text, phrases_of_articles
 from tempora.operators.sampling import one_year_per_decade, SAMPLED_MONTHS
 from tempora.operators.timelines import phrase_statistics_from_timelines, phrase_timelines
+from tempora.session import shared_table
 from tempora.sources import datasets
 from tempora.sources.jsonl import write_training_jsonl
 
 STAGES = ("ingest", "aggregate", "features", "embeddings", "validate", "training_set", "train")
+#: Marks in the run table that all stages before it are to be done again.
+RESET = "reset"
 
 
 @dataclass(frozen=True)
@@ -39,7 +42,7 @@ class BuildConfig:
     start_year: int = 1950
     end_year: int = 1999
     min_count: int = 2
-    max_phrases: int | None = 300
+    max_phrases: int | None = None
     context_radius: int = 40
     sample_one_year_per_decade: bool = False
     balance_decades: bool = False
@@ -55,8 +58,15 @@ def _finished(spark: SparkSession, root: str, run_key: str) -> set[str]:
     runs = datasets.read_dataset(spark, root, "stage_runs")
     if runs is None:
         return set()
-    # One row per finished stage: bounded by the number of stages.
-    return {r["stage"] for r in runs.where(F.col("run_key") == run_key).select("stage").distinct().collect()}
+    # The stages finished since the last time another configuration, or a reset, wrote to this root: only their
+    # tables are still those of ``run_key``.  The newest rows are enough (a run writes at most one per stage).
+    newest = runs.orderBy(F.desc("finished_at")).limit(len(STAGES) + 1).collect()
+    done: set[str] = set()
+    for row in newest:
+        if row["run_key"] != run_key or row["stage"] == RESET:
+            break
+        done.add(row["stage"])
+    return done
 
 
 def _mark(spark: SparkSession, root: str, run_key: str, stage: str, result: str) -> None:
@@ -72,8 +82,10 @@ def run_build(spark: SparkSession, config: BuildConfig, reset: bool = False,
     if config.start_year < 1850:
         log(f"warning: start year {config.start_year} is before 1850")
     key = config.run_key()
-    done = set() if reset else _finished(spark, config.root, key)
     root = config.root
+    if reset:
+        _mark(spark, root, key, RESET, "stages start over")
+    done = _finished(spark, root, key)
     results: dict[str, str] = {}
 
     def ingest() -> str:
@@ -81,7 +93,8 @@ def run_build(spark: SparkSession, config: BuildConfig, reset: bool = False,
         if config.sample_one_year_per_decade:
             years = one_year_per_decade(config.start_year, config.end_year)
             months = list(SAMPLED_MONTHS)
-        articles = articles_with_text(spark, config.raw_dir, config.start_year, config.end_year, years, months)
+        # The archive is parsed once: both tables are made from the articles with their text.
+        articles = shared_table(articles_with_text(spark, config.raw_dir, config.start_year, config.end_year, years, months), "articles_with_text")
         datasets.write_partitioned(articles.select(*ARTICLE_COLUMNS), root, "articles")
         phrases = phrases_of_articles(articles, config.max_phrases, config.context_radius)
         datasets.write_partitioned(phrases, root, "phrases", sort_by="phrase_hash")
@@ -114,13 +127,16 @@ def run_build(spark: SparkSession, config: BuildConfig, reset: bool = False,
 
     def training() -> str:
         feats = datasets.read_dataset(spark, root, "features", required=True)
-        write_training_jsonl(training_set(feats), datasets.dataset_path(root, "training_dataset"))
+        # The table feeds the training; the JSON lines are an export for other tools.
+        datasets.replace_dataset(training_set(feats), root, "training_rows", sort_by="phrase")
+        rows = datasets.read_dataset(spark, root, "training_rows", required=True)
+        write_training_jsonl(rows, datasets.dataset_path(root, "training_dataset"))
         return "written"
 
     def train() -> str:
-        from tempora.sources.jsonl import read_training_jsonl
-
-        rows = read_training_jsonl(spark, datasets.dataset_path(root, "training_dataset"))
+        rows = datasets.read_dataset(spark, root, "training_rows", required=True)
+        if rows.isEmpty():
+            raise ValueError("the training set has no rows")
         model = fit_profile(rows, config.min_feature_weight, config.balance_decades)
         model.save(datasets.dataset_path(root, "model"))
         return "written"
@@ -128,7 +144,8 @@ def run_build(spark: SparkSession, config: BuildConfig, reset: bool = False,
     actions = {"ingest": ingest, "aggregate": aggregate, "features": features, "embeddings": embeddings,
                "validate": validate, "training_set": training, "train": train}
     for stage in STAGES:
-        if stage in done:
+        # A stage counts as finished only while all stages before it do.
+        if stage in done and all(results[s] == "skipped" for s in results):
             log(f"stage {stage}: skipped (finished in an earlier run)")
             results[stage] = "skipped"
             continue

@@ -21,34 +21,50 @@ from pyspark.sql import functions as F
 from tempora.functions.timeparts import decade_key
 from tempora.models import profile as profile_model
 from tempora.operators import metrics
+from tempora.session import shared_table
 from tempora.sources.jsonl import read_inputs, write_predictions_jsonl
 
 METRIC_TABLES = ("accuracy", "rates_by_decade", "rates_by_size", "confusion", "classification_report",
                  "classification_summary", "prediction_distribution")
 
 
+def load_model(spark: SparkSession, model_type: str, path: str | None = None):
+    """A model by its type: ``profile`` (the uniform fallback when there is none at ``path``) or ``tfidf``."""
+    from tempora.models.tfidf import TfidfModel
+    from tempora.sources.datasets import dataset_exists
+
+    if model_type == "profile":
+        if path is None or not dataset_exists(spark, path, "prior"):
+            return profile_model.ProfileModel.fallback(spark)
+        return profile_model.ProfileModel.load(spark, path)
+    if model_type == "tfidf":
+        if path is None or not dataset_exists(spark, path, "decades"):
+            raise FileNotFoundError(f"no TF-IDF model at {path}: train one first")
+        return TfidfModel.load(spark, path)
+    raise ValueError(f"unknown model type {model_type!r}: profile or tfidf")
+
+
 def predict(spark: SparkSession, inputs: DataFrame, model=None) -> DataFrame:
     """Prediction rows for an input frame (``id, phrase`` ...) with a profile
     model, a TF-IDF model, or the uniform fallback when ``model`` is None."""
-    from tempora.models.tfidf import TfidfModel, score_tfidf
+    from tempora.models.tfidf import TfidfModel, score_phrases as tfidf_scores
 
     if model is None:
         model = profile_model.ProfileModel.fallback(spark)
-    if isinstance(model, TfidfModel):
-        scored = score_tfidf(model, inputs)
-    else:
-        scored = profile_model.score_profile(model, inputs)
-    return profile_model.prediction_table(inputs, scored)
+    scores = tfidf_scores if isinstance(model, TfidfModel) else profile_model.score_phrases
+    return profile_model.prediction_table(inputs, scores(model, inputs))
 
 
 def metric_tables(predictions: DataFrame) -> dict[str, DataFrame]:
+    """Every metric table; the labelled ones read one aggregate, made in one scan."""
+    counts = shared_table(metrics.labelled_counts(predictions), "labelled_counts")
     return {
-        "accuracy": metrics.accuracy_summary(predictions),
-        "rates_by_decade": metrics.rates_by_expected_decade(predictions),
-        "rates_by_size": metrics.rates_by_input_size(predictions),
-        "confusion": metrics.confusion_counts(predictions),
-        "classification_report": metrics.classification_report(predictions),
-        "classification_summary": metrics.classification_summary(predictions),
+        "accuracy": metrics.accuracy_summary(counts),
+        "rates_by_decade": metrics.rates_by_expected_decade(counts),
+        "rates_by_size": metrics.rates_by_input_size(counts),
+        "confusion": metrics.confusion_counts(counts),
+        "classification_report": metrics.classification_report(counts),
+        "classification_summary": metrics.classification_summary(counts),
         "prediction_distribution": metrics.prediction_distribution(predictions),
     }
 
@@ -71,9 +87,17 @@ def run_evaluation(spark: SparkSession, input_path: str, output_dir: str, model=
     write_predictions_jsonl(predictions, f"{base}/predictions/run_id={run_id}")
     for name, table in metric_tables(predictions).items():
         _write_run(table, f"{base}/{name}", run_id)
-    matrix = metrics.confusion_matrix(predictions).withColumnRenamed("expected", "expected\\predicted")
+
+    def of_run(name: str) -> DataFrame:
+        return spark.read.parquet(f"{base}/{name}").where(F.col("run_id") == run_id).drop("run_id")
+
+    counts = shared_table(metrics.labelled_counts(predictions), "labelled_counts")
+    matrix = metrics.confusion_pivot(counts).withColumnRenamed("expected", "expected\\predicted")
     matrix.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}/confusion_matrix/run_id={run_id}")
-    report = metrics.classification_report(predictions).orderBy(decade_key(F.col("decade")), "decade").select(
+    # The report, the summary and the headline numbers as JSON, a line per row.
+    for name in ("classification_report", "classification_summary", "accuracy"):
+        of_run(name).coalesce(1).write.mode("overwrite").json(f"{base}/{name}_json/run_id={run_id}")
+    report = of_run("classification_report").orderBy(decade_key(F.col("decade")), "decade").select(
         "decade", "support", F.format_string("%.6f", "precision").alias("precision"),
         F.format_string("%.6f", "recall").alias("recall"), F.format_string("%.6f", "f1_score").alias("f1_score"),
         "correct", "errors", "confused_with")

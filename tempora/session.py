@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on; a cluster deployment sets the same keys in its
 # own defaults.  AQE stays on so shuffle partition counts and skewed joins are
@@ -48,18 +49,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the deployment and must be shared
-    storage; we only read it.  When it is unset (tests, local runs) we point it
-    at a fresh scratch folder of our own.
+    The deployment sets it (``local_session`` does for tests and the bench);
+    library code never chooses a folder, except a scratch one for a
+    single-process session (``local`` or ``local[n]``) that names none.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        current = tempfile.mkdtemp(prefix="tempora-ckpt-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="tempora-shared-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def shared_table(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written as a Parquet table in the shared folder and read back, so that later steps
+    neither repeat its work nor depend on an executor's disk."""
+    path = f"{ensure_checkpoint_dir(frame.sparkSession)}/tempora-{uuid.uuid4().hex}/{name}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

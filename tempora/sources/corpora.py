@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> int | None:
+    """To how many partitions a table of fewer files than cores is to be dealt (``None``: it has enough of its own)."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return cores if len(frame.inputFiles()) < cores else None
+
+
 def articles_from_documents(documents: DataFrame, source: str = "documents") -> DataFrame:
     """Articles of corpus C1: ``article_id, source_id, pub_date, year, month,
     decade, section, subsection, word_count, text``."""
@@ -54,6 +60,38 @@ def articles_from_documents(documents: DataFrame, source: str = "documents") ->
     )
 
 
+def archive_from_documents(documents: DataFrame) -> DataFrame:
+    """Corpus C4: every document as an archive record (``doc``, ``file_path``), with fixed irregularities: missing, second
+    and third ids, undated records, months only in the file name or nowhere, empty and missing headlines, sections,
+    keywords and keyword values, and quotes and backslashes in them."""
+    key = F.col("doc_id")
+    year = F.lit(C1_FIRST_YEAR) + key % C1_YEARS
+    month = F.lit(1) + F.floor(key / C1_YEARS) % 12
+    null = F.lit(None).cast("string")
+    keywords = (F.when(key % 3 == 1, F.array(F.struct(F.lit("subject").alias("name"), F.col("lang").alias("value"))))
+                .when(key % 3 == 2, F.array(F.struct(F.lit("subject").alias("name"), null.alias("value")),
+                                            F.struct(null.alias("name"), F.concat(F.lit('say "'), F.col("source"), F.lit('" \\')).alias("value")))))
+    doc = F.struct(
+        F.when(key % 11 == 0, "").otherwise(F.concat(F.lit("doc-"), key.cast("string"))).alias("_id"),
+        F.when(key % 22 == 0, F.concat(F.lit("uri-"), key.cast("string"))).alias("uri"),
+        F.when(key % 33 == 0, F.concat(F.lit("https://example.org/"), key.cast("string"))).alias("web_url"),
+        F.when(key % 17 == 0, "undated").when(key % 5 == 0, F.format_string("%04d-00-15", year))
+        .otherwise(F.format_string("%04d-%02d-15T00:00:00+0000", year, month)).alias("pub_date"),
+        F.struct(F.concat(F.lit("Item "), F.col("source")).alias("main"), F.when(key % 2 == 0, "").alias("print_headline")).alias("headline"),
+        F.col("lang").alias("abstract"), null.alias("snippet"), F.col("text").alias("lead_paragraph"), keywords.alias("keywords"),
+        F.when(key % 4 == 0, "").otherwise(F.col("source")).alias("section_name"), F.col("lang").alias("news_desk"),
+        F.when(key % 2 == 1, F.col("lang")).alias("subsection_name"), key.alias("word_count"))
+    path = F.when(key % 25 == 0, "/archive/misc.json").otherwise(F.format_string("/archive/%04d/%02d.json", year, month))
+    return documents.select(doc.alias("doc"), path.alias("file_path"))
+
+
+def input_lines_from_part(part: DataFrame) -> DataFrame:
+    """JSON lines (``value``, ``_file``) of an input file with one row per part, and a blank line after each."""
+    row = F.to_json(F.struct(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("phrase"),
+                             F.when(F.col("p_size") % 2 == 0, "1990s").alias("expected_decade")))
+    return part.select(F.explode(F.array(row, F.lit(" \t"))).alias("value"), F.lit("part").alias("_file"))
+
+
 def phrases_from_orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
     """Phrase occurrences of corpus C2 in the ``phrases`` table shape (without
     context): ``article_id, phrase_hash, phrase, year, month, decade, frequency``."""
@@ -100,7 +138,7 @@ def predictions_from_orders(orders: DataFrame) -> DataFrame:
       normalized (ties happen) and rounded to 6 places; orders with status
       ``P`` and key divisible by 7 get an empty distribution (no prediction);
     * ``top_decade``/``confidence``: first maximum of the unrounded distribution;
-    * ``input_size_group`` from the order priority (``5-LOW`` -> missing);
+    * ``input_size_group`` from the order priority (``5-LOW`` -> empty for even keys, else missing);
     * ``group``: ``directed`` when labelled, else ``random``.
     """
     from tempora.functions.distribution import round_array, top_of_array
@@ -119,7 +157,8 @@ def predictions_from_orders(orders: DataFrame) -> DataFrame:
     size_group = (F.when(F.col("o_orderpriority") == "1-URGENT", "1_token")
                   .when(F.col("o_orderpriority") == "2-HIGH", "2_4_tokens")
                   .when(F.col("o_orderpriority") == "3-MEDIUM", "5_8_tokens")
-                  .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "9_15_tokens"))
+                  .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "9_15_tokens")
+                  .when(key % 2 == 0, ""))
     staged = orders.select(key.cast("string").alias("id"), expected.alias("expected_decade"),
                            dist.alias("_dist"), size_group.alias("input_size_group"))
     top = top_of_array(F.col("_dist"))

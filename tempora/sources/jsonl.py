@@ -45,8 +45,12 @@ TRAINING_SCHEMA = T.StructType([
 
 
 def read_inputs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
-    lines = lines.where(F.trim(F.col("value")) != "")
+    return parse_inputs(spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file")), strict)
+
+
+def parse_inputs(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """Input rows from lines of text (``value``, ``_file``); blank lines are skipped, a bad line is an error when strict."""
+    lines = lines.where(F.col("value").rlike(r"\S"))
     parsed = lines.select("value", "_file", F.from_json("value", INPUT_SCHEMA).alias("row"))
     if not strict:
         return parsed.select("row.*")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tempora.operators.ingest import ARTICLE_COLUMNS, phrases_of_articles
-from tempora.session import ensure_checkpoint_dir
+from tempora.session import ensure_checkpoint_dir, shared_table
 from tempora.sources.archive import RAW_SCHEMA, articles_from_archive
 
 
@@ -35,15 +35,16 @@ def _write_batch(frame: DataFrame, path: str, batch_id: int) -> None:
 
 
 def start_ingest_stream(spark: SparkSession, raw_dir: str, root: str, checkpoint: str | None = None,
-                        max_phrases: int | None = 300, context_radius: int = 40, once: bool = False,
+                        max_phrases: int | None = None, context_radius: int = 40, once: bool = False,
                         max_files_per_trigger: int = 16) -> StreamingQuery:
     base = root.rstrip("/")
     checkpoint = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/archive-ingest-stream"
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        articles = articles_from_archive(batch)
-        _write_batch(articles.select(*ARTICLE_COLUMNS), f"{base}/articles", batch_id)
-        _write_batch(phrases_of_articles(articles, max_phrases, context_radius), f"{base}/phrases", batch_id)
+        # Parsed once per micro-batch; the tables have a root of their own, apart from those of the batch ingest.
+        articles = shared_table(articles_from_archive(batch), f"batch-{batch_id}")
+        _write_batch(articles.select(*ARTICLE_COLUMNS), f"{base}/stream_articles", batch_id)
+        _write_batch(phrases_of_articles(articles, max_phrases, context_radius), f"{base}/stream_phrases", batch_id)
 
     writer = (archive_stream(spark, raw_dir, max_files_per_trigger).writeStream.foreachBatch(process)
               .option("checkpointLocation", checkpoint))

@@ -55,15 +55,50 @@ def test_full_build_and_rerun(spark, scratch):
     for name in ("phrase_timelines", "phrase_statistics", "features", "embeddings", "training_dataset", "model"):
         assert os.path.isdir(os.path.join(scratch, name)), name
     model = load_model(spark, scratch)
-    inputs = spark.createDataFrame([("a", "telegram office"), ("b", "streaming platform")],
+    inputs = spark.createDataFrame([("a", "gas lamps"), ("b", "streaming platform")],
                                    "id string, phrase string")
     tops = {r["id"]: r["top_decade"] for r in
-            profile.prediction_table(inputs, profile.score_profile(model, inputs)).collect()}
+            profile.prediction_table(inputs, profile.score_phrases(model, inputs)).collect()}
     assert tops == {"a": "1900s", "b": "2020s"}
     again = run_build(spark, config, log=lambda *_: None)
     assert set(again.values()) == {"skipped"}
 
 
+def test_stages_are_skipped_only_over_their_own_tables(spark, scratch, monkeypatch):
+    quiet = {"log": lambda *_: None}
+    one, other = (BuildConfig(raw_dir=RAW, root=scratch, start_year=1900, end_year=2020, min_count=n) for n in (1, 3))
+
+    def rows():
+        return spark.read.parquet(scratch + "/features").count()
+
+    run_build(spark, one, **quiet)
+    first = rows()
+    run_build(spark, other, **quiet)
+    assert rows() < first
+    again = run_build(spark, one, **quiet)
+    assert set(again.values()) != {"skipped"} and rows() == first          # A, B, A
+    # A reset that dies half-way leaves nothing that counts as finished.
+    import tempora.plans.build as build
+
+    monkeypatch.setattr(build, "phrase_timelines", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run_build(spark, one, reset=True, **quiet)
+    monkeypatch.undo()
+    results = run_build(spark, one, **quiet)
+    assert results["ingest"] == "skipped" and results["aggregate"] != "skipped" and results["train"] == "written" and rows() == first
+
+
+def test_model_loader(spark, scratch):
+    fallback = evaluate.load_model(spark, "profile", scratch + "/none")
+    assert fallback.features.count() == 0 and fallback.prior.count() == 18
+    with pytest.raises(FileNotFoundError):
+        evaluate.load_model(spark, "tfidf", scratch + "/none")
+    with pytest.raises(ValueError):
+        evaluate.load_model(spark, "other")
+    profile.fit_profile(spark.createDataFrame([("gas lamp", {"1900s": 1.0})], "phrase string, target map<string,double>")).save(scratch + "/model")
+    assert evaluate.load_model(spark, "profile", scratch + "/model").features.count() > 0
+
+
 def test_evaluation_runs_and_comparison(spark, scratch):
     path = os.path.join(scratch, "inputs.jsonl")
     with open(path, "w", encoding="utf-8") as handle:
@@ -97,6 +132,6 @@ def test_streaming_ingest_once(spark, scratch):
 
     query = start_ingest_stream(spark, RAW, scratch + "/stream", checkpoint=scratch + "/ckpt", once=True)
     query.awaitTermination(300)
-    articles = spark.read.parquet(scratch + "/stream/articles")
+    articles = spark.read.parquet(scratch + "/stream/stream_articles")
     assert articles.count() == 7   # every dated article with an id (no year range in the stream)
-    assert spark.read.parquet(scratch + "/stream/phrases").where(F.col("phrase") == "jet engine").count() == 1
+    assert spark.read.parquet(scratch + "/stream/stream_phrases").where(F.col("phrase") == "jet engine").count() == 1

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEAF_CHARS = 16_384
+LEAF_CHARS = 32_768
 SAFE = 64
 
 
@@ -57,6 +57,22 @@ def _encoding(vocabulary: Vocabulary) -> tiktoken.Encoding:
     return tiktoken.Encoding("tempora", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=dict(vocabulary.special))
 
 
+@functools.lru_cache(maxsize=2)
+def _token_bytes(vocabulary: Vocabulary) -> np.ndarray:
+    """How many bytes each id stands for."""
+    coder = _encoding(vocabulary)
+    lengths = np.zeros(coder.n_vocab, np.int64)
+    for token in coder.token_byte_values():
+        lengths[coder.encode_single_token(token)] = len(token)
+    for special, number in vocabulary.special:
+        lengths[number] = len(special.encode())
+    return lengths
+
+
+def _id_kind(vocabulary: Vocabulary) -> type:
+    return np.uint16 if _encoding(vocabulary).n_vocab <= 1 << 16 else np.int32
+
+
 @functools.lru_cache(maxsize=2)
 def _splitter(vocabulary: Vocabulary) -> regex.Pattern:
     return regex.compile("|".join([*(regex.escape(s) for s, _ in vocabulary.special)]))
@@ -103,6 +119,21 @@ class Piece:
         before = np.cumsum([0, *map(len, ids)])
         return cls(text, np.asarray([i for word in ids for i in word], dtype=np.int32), np.asarray(starts, dtype=np.int64), before)
 
+    def packed(self, vocabulary: Vocabulary) -> tuple[bytes, bytes]:
+        """The ids, and a bit for each that is set where a word starts: all that a piece is made of."""
+        bits = np.zeros(len(self.ids), bool)
+        bits[self.before[:-1]] = True
+        return self.ids.astype(_id_kind(vocabulary)).tobytes(), np.packbits(bits).tobytes()
+
+    @classmethod
+    def unpacked(cls, vocabulary: Vocabulary, ids: bytes, bits: bytes) -> Piece:
+        numbers = np.frombuffer(ids, _id_kind(vocabulary)).astype(np.int32)
+        before = np.append(np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(numbers))), len(numbers))
+        raw = _encoding(vocabulary).decode_bytes(numbers.tolist())
+        at_byte = np.concatenate([[0], np.cumsum(_token_bytes(vocabulary)[numbers])])
+        chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+        return cls(raw.decode(), numbers, chars[at_byte[before]], before)
+
 
 def joined(vocabulary: Vocabulary, left: Piece, right: Piece) -> Piece:
     """The piece of both texts, from both pieces and a window around their join."""
@@ -178,8 +209,8 @@ def _cut(leaf_chars: int):
 def _leaf(vocabulary: Vocabulary):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            pieces = [Piece.of(vocabulary, t) for t in frame["text"]]
-            yield frame.assign(ids=[p.ids.tobytes() for p in pieces], starts=[p.starts.tobytes() for p in pieces], before=[p.before.tobytes() for p in pieces])
+            packed = [Piece.of(vocabulary, t).packed(vocabulary) for t in frame["text"]]
+            yield frame.drop(columns="text").assign(ids=[ids for ids, _ in packed], word_bits=[bits for _, bits in packed])
 
     return run
 
@@ -187,8 +218,7 @@ def _leaf(vocabulary: Vocabulary):
 def _tree(vocabulary: Vocabulary):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("leaf")
-        whole = concatenated(vocabulary, [Piece(t, np.frombuffer(i, np.int32), np.frombuffer(s, np.int64), np.frombuffer(b, np.int64))
-                                          for t, i, s, b in zip(frame["text"], frame["ids"], frame["starts"], frame["before"])])
+        whole = concatenated(vocabulary, [Piece.unpacked(vocabulary, ids, bits) for ids, bits in zip(frame["ids"], frame["word_bits"])])
         return pd.DataFrame({"doc_id": frame["doc_id"].iloc[:1].to_numpy(), "ids": [whole.ids], "decoded": [decode(vocabulary, whole.ids)]})
 
     return run
@@ -203,7 +233,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, leaf_chars: i
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     short = base.where(~long).mapInArrow(_short(vocabulary), out)
     cut = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), T.StructField("leaf", T.LongType()), T.StructField("text", T.StringType())])
-    parts = T.StructType([*cut, *(T.StructField(c, T.BinaryType()) for c in ("ids", "starts", "before"))])
+    parts = T.StructType([*(f for f in cut if f.name != "text"), *(T.StructField(c, T.BinaryType()) for c in ("ids", "word_bits"))])
     pieces = (base.where(long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut(leaf_chars), cut)
               .repartition("row", "leaf").mapInPandas(_leaf(vocabulary), parts))
     return short.unionAll(pieces.groupBy("row").applyInPandas(_tree(vocabulary), out))

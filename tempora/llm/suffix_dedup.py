@@ -7,15 +7,16 @@ The transform is cut into parts that can be sorted alone.  Each ``length``-byte
 least 32-byte gram by a scrambling hash; windows with equal bytes have equal anchors at equal places.  A run of
 neighbouring windows with one anchor is a segment, and the segments of an anchor hold all windows that can be equal.
 
-1. Anchors are counted over the corpus; a bitmap of ``BITMAP_BITS`` bits marks those that stand in two places or more (a false mark
-   costs a transfer, nothing else).
-2. Segments of marked anchors are shuffled by anchor.  Of segments with equal bytes only the first of a batch is; the others are
-   known to be repeated.  Anchors of more than ``hot`` places are dealt on by the contents of their single windows.
+1. Anchors are counted over the corpus; a Bloom filter of ``BITMAP_BITS`` bits marks those that stand in two places or more (a
+   false mark costs a transfer, nothing else).
+2. Segments of marked anchors are shuffled by anchor.  Of segments with equal bytes only the first of a batch (or of some
+   200,000 contents) is; the others are known to be repeated.  Anchors of more than ``hot`` places are dealt on by the contents of their single windows.
 3. A task puts the distinct segments of some anchors into one text, sorts its suffixes by their first bytes and derives
    the common prefixes from the transform: intervals of suffixes with a common prefix of 8 bytes are extended backward,
    breadth first, and an interval whose right end is new has found a common prefix of that very value.  At ``length`` the
    expansion stops: suffixes not yet parted are equal windows, of which all but the first are repeated.
-4. The repeated windows of each document are joined to its text and their bytes removed.
+4. The repeated windows of each document become spans, which are joined to the texts (broadcast while they are counted to be
+   few), and their bytes removed.
 
 Defined cases: a null text counts as empty; documents come by doc_id, null last, and then by a hash of their text; rows
 that repeat a doc_id and text are one document, with a result for each row; an empty table gives an empty result; other
@@ -38,10 +39,16 @@ from .shared import handed_over, mixed
 LENGTH = 100
 GRAM = 32
 BITMAP_BITS = 1 << 26
+PROBES = 3
+PROBE_SHIFT = 18
 HOT = 1 << 15
 HOT_PARTS = 1 << 10
 MARK = 255
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
+#: Contents that a batch remembers at a time.
+_KNOWN = 200_000
+#: Removed spans that are broadcast to the texts; more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 _TASK_BYTES = 1 << 20
 _ODD = tuple(np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -66,7 +73,7 @@ def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
 
 def segments(texts: list[bytes], length: int) -> Iterator[tuple]:
     """Of each chunk: its bytes, and for each segment the document, the first window's start in document and chunk, the number of
-    windows, the anchor's start in the document and the anchor."""
+    windows and the anchor."""
     for which, starts, data in _chunks(texts, length):
         x = np.frombuffer(data, np.uint8)
         words = np.ndarray(len(x) - 7, "<u8", data, strides=(1,))
@@ -89,12 +96,16 @@ def segments(texts: list[bytes], length: int) -> Iterator[tuple]:
         stop = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
         piece, at = owner[first], place[first]
         shift = np.asarray(starts)[piece] - begins[piece]
-        yield data, np.asarray(which)[piece], first + shift, first, stop - first + 1, at + shift, grams[at]
+        yield data, np.asarray(which)[piece], first + shift, first, stop - first + 1, grams[at]
 
 
 def _marked(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    at = (anchors & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    """Whether all bits of an anchor are set: one in each of ``PROBES`` ranges of its own bits."""
+    marked = np.ones(len(anchors), bool)
+    for probe in range(PROBES):
+        at = (anchors >> np.uint64(PROBE_SHIFT * probe) & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+        marked &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return marked
 
 
 def _anchors(length: int):
@@ -108,8 +119,8 @@ def _anchors(length: int):
     return run
 
 
-_COLUMNS = ("key", "part", "doc_hash", "start", "windows", "anchor_at", "bytes")
-_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+_COLUMNS = ("key", "part", "doc_hash", "start", "windows", "bytes")
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
 
 def _order(doc_id, doc_hash) -> tuple:
@@ -125,16 +136,29 @@ def _met(length: int, shared):
             kind = batch.schema.field("doc_id").type
             docs = sorted(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_hash", "text"))), key=lambda d: _order(*d[:2]))
             known: dict[bytes, tuple] = {}
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in range(7)]
+            again = [-1, 0, 0]  # the repeated windows at hand: document, start, number
 
-            def put(doc: int, start: int, windows: int, at: int, anchor: int, part: int, own: bytes) -> None:
-                doc_id, doc_hash, _ = docs[doc]
-                before = known.setdefault(own, (doc_id, doc_hash, start))
-                if before != (doc_id, doc_hash, start):  # known to be repeated: no need to meet the others
-                    anchor, part, own = start ^ doc_hash, 0, None
-                for column, value in zip(rows, (doc_id, anchor, part, doc_hash, start, windows, at, own)):
+            def add(*values) -> None:
+                for column, value in zip(rows, values):
                     column.append(value)
 
+            def put_again(doc: int, start: int, windows: int) -> None:
+                if again[0] == doc and again[1] + again[2] == start:
+                    again[2] += windows
+                    return
+                if again[0] >= 0:
+                    doc_id, doc_hash, _ = docs[again[0]]
+                    add(doc_id, again[1] ^ doc_hash, 0, doc_hash, again[1], again[2], None)
+                again[:] = doc, start, windows
+
+            def put(doc: int, start: int, windows: int, anchor: int, part: int, own: bytes) -> None:
+                doc_id, doc_hash, _ = docs[doc]
+                if known.setdefault(own, (doc_id, doc_hash, start)) != (doc_id, doc_hash, start):
+                    put_again(doc, start, windows)  # known to be repeated: no need to meet the others
+                else:
+                    add(doc_id, anchor, part, doc_hash, start, windows, own)
+
             def flush():
                 out = pa.RecordBatch.from_arrays([pa.array(rows[0], kind), *(pa.array(r, k) for r, k in zip(rows[1:], _KINDS))], names=["doc_id", *_COLUMNS])
                 for column in rows:
@@ -144,15 +168,18 @@ def _met(length: int, shared):
             for data, *columns, anchors in segments([d[2] or b"" for d in docs], length):
                 keep = _marked(bitmap, anchors)
                 split = _marked(hot, anchors[keep])
-                for doc, start, first, windows, at, anchor, apart in zip(*(c[keep].tolist() for c in columns), anchors[keep].view(np.int64).tolist(), split.tolist()):
+                for doc, start, first, windows, anchor, apart in zip(*(c[keep].tolist() for c in columns), anchors[keep].view(np.int64).tolist(), split.tolist()):
                     if apart:
                         for i in range(windows):
                             own = data[first + i:first + i + length]
-                            put(doc, start + i, 1, at, anchor, 1 + int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little") % HOT_PARTS, own)
+                            put(doc, start + i, 1, anchor, 1 + int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little") % HOT_PARTS, own)
                     else:
-                        put(doc, start, windows, at, anchor, 0, data[first:first + windows + length - 1])
-                if len(rows[0]) > 100_000:
+                        put(doc, start, windows, anchor, 0, data[first:first + windows + length - 1])
+                if len(rows[0]) > 50_000:
                     yield flush()
+                if len(known) > _KNOWN:
+                    known.clear()
+            put_again(-1, 0, 0)
             yield flush()
 
     return run
@@ -229,12 +256,12 @@ def equal_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _repeated(group: list[tuple], length: int) -> Iterator[tuple]:
-    """Of the segments (key, doc_id, doc_hash, start, windows, anchor_at, bytes) of some anchors, the repeated windows as (doc_id, doc_hash, start, windows)."""
-    group.sort(key=lambda s: (*_order(s[1], s[2]), s[5]))
+    """Of the segments (key, doc_id, doc_hash, start, windows, bytes) of some anchors, the repeated windows as (doc_id, doc_hash, start, windows)."""
+    group.sort(key=lambda s: (*_order(s[1], s[2]), s[3]))
     first: dict[bytes, tuple] = {}
     contents: dict[tuple, int] = {}
     for s in group:
-        if (own := first.setdefault(s[6], s)) is not s:
+        if (own := first.setdefault(s[5], s)) is not s:
             if own[1:4] != s[1:4]:
                 yield s[1], s[2], s[3], s[4]
         else:
@@ -243,7 +270,7 @@ def _repeated(group: list[tuple], length: int) -> Iterator[tuple]:
     left = [s for s in first.values() if contents[s[0]] > 1]
     if not left:
         return
-    text, start, same = equal_windows([s[6] for s in left], length)
+    text, start, same = equal_windows([s[5] for s in left], length)
     # Segments are in order, and equal windows have equal distances from their anchors: the first is that of the first segment.
     by = np.lexsort((text, same))
     text, start, same = text[by], start[by], same[by]
@@ -273,7 +300,7 @@ def _expanded(length: int):
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for doc_id, key, part, doc_hash, start, windows, at, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *_COLUMNS))):
+            for doc_id, key, part, doc_hash, start, windows, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *_COLUMNS))):
                 if own is None:
                     out.append((doc_id, doc_hash, start, windows))
                     continue
@@ -281,7 +308,7 @@ def _expanded(length: int):
                     out += _repeated(group, length)
                     group, size = [], 0
                 now = (key, part)
-                group.append((now, doc_id, doc_hash, start, windows, at, own))
+                group.append((now, doc_id, doc_hash, start, windows, own))
                 size += len(own)
             if out:
                 yield flush()
@@ -293,34 +320,44 @@ def _expanded(length: int):
     return run
 
 
-def _removed(length: int):
+def _spans(length: int):
+    """The windows of a document as maximal spans (start, stop) of covered bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, windows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "repeats"))):
-                text, kept, at, removed, spans = text or b"", [], 0, 0, 0
-                end = -1
-                for start, stop in sorted((w["start"], w["start"] + w["windows"] - 1 + length) for w in windows or ()):
-                    if start > end:
-                        kept.append(text[at:start])
-                        spans += 1
-                        removed += stop - start
+            found = []
+            for windows in batch.column("windows").to_pylist():
+                spans: list[dict] = []
+                for start, stop in sorted((w["start"], w["start"] + w["windows"] - 1 + length) for w in windows):
+                    if spans and start <= spans[-1]["stop"]:
+                        spans[-1]["stop"] = max(spans[-1]["stop"], stop)
                     else:
-                        removed += max(0, stop - end)
-                    end = at = max(end, stop)
-                kept.append(text[at:])
-                rows.append((doc_id, len(text), removed, spans, b"".join(kept)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                        spans.append({"start": start, "stop": stop})
+                found.append(spans)
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_hash"), pa.array(found, kind)], names=["doc_id", "doc_hash", "spans"])
 
     return run
 
 
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+            text, spans = text or b"", spans or []
+            edges = [0, *(e for span in spans for e in (span["start"], span["stop"])), len(text)]
+            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            rows.append((doc_id, len(text), len(text) - len(kept), len(spans), kept))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                         names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, doc_hash, start, windows: runs of windows of ``length`` bytes that also start earlier."""
     texts = _hashed(docs)
     counts = texts.select("text").mapInArrow(_anchors(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    bit = F.expr(f"anchor & {BITMAP_BITS - 1}L") + 1
+    counts = counts.select("n", F.explode(F.array(*(F.expr(f"shiftrightunsigned(anchor, {PROBE_SHIFT * probe}) & {BITMAP_BITS - 1}L") for probe in range(PROBES)))).alias("bit"))
+    bit = F.col("bit") + 1
     bits = (counts.groupBy(F.bitmap_bucket_number(bit).alias("bucket"), (F.col("n") > hot).alias("hot"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect())
     bitmap, hot_bitmap = (np.zeros(BITMAP_BITS // 8, np.uint8) for _ in range(2))
@@ -342,9 +379,14 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that are left)."""
-    found = repeats(docs, length, hot).groupBy("doc_id", "doc_hash").agg(F.collect_set(F.struct("start", "windows")).alias("repeats"))
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("doc_hash").alias("_hash"), "repeats")
+    windows = repeats(docs, length, hot).groupBy("doc_id", "doc_hash").agg(F.collect_set(F.struct("start", "windows")).alias("windows"))
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+    kinds = T.StructType([docs.schema["doc_id"], T.StructField("doc_hash", T.LongType()), T.StructField("spans", span)])
+    spans = handed_over(windows.mapInArrow(_spans(length), kinds), "spans")
+    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("doc_hash").alias("_hash"), "spans")
+    if (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= MOST_BROADCAST:
+        spans = F.broadcast(spans)
     texts = _hashed(docs)
-    joined = texts.join(found, texts["doc_id"].eqNullSafe(found["_doc"]) & (texts["doc_hash"] == found["_hash"]), "left").select("doc_id", "text", "repeats")
+    joined = texts.join(spans, texts["doc_id"].eqNullSafe(spans["_doc"]) & (texts["doc_hash"] == spans["_hash"]), "left").select("doc_id", "text", "spans")
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return joined.mapInArrow(_removed(length), schema)
+    return joined.mapInArrow(_removed, schema)

@@ -48,6 +48,8 @@ def test_long_texts_come_in_pieces(documents, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_CHUNK", 333)
     check(documents(rows), rows, 100)
     monkeypatch.setattr(suffix_dedup, "_TASK_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "_KNOWN", 3)
+    monkeypatch.setattr(suffix_dedup, "MOST_BROADCAST", 0)
     check(documents(rows), rows, 100)
 
 
@@ -91,7 +93,7 @@ def test_segments_hold_every_window_once():
     draw = random.Random(4)
     texts = [bytes(draw.choice(b"abc d") for _ in range(n)) for n in (0, 99, 100, 101, 500, 3000)] + [b"a" * 300]
     windows = defaultdict(int)
-    for _, docs, starts, _, counts, _, _ in suffix_dedup.segments(texts, 100):
+    for _, docs, starts, _, counts, _ in suffix_dedup.segments(texts, 100):
         for doc, start, count in zip(docs.tolist(), starts.tolist(), counts.tolist()):
             for s in range(start, start + count):
                 windows[doc, s] += 1

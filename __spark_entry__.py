@@ -332,10 +332,10 @@ def c2_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c2_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every input, and every one but the first again under the id of the one before: ids repeat, phrases differ."""
+    """Every input, and every one but P1 again under the id of the one before: ids repeat, phrases differ."""
     inputs = _c2_inputs(spark, sf_dir)
     number = F.substring("id", 2, 20).cast("bigint")
-    inputs = inputs.unionByName(inputs.where(number > 1).withColumn("id", F.concat(F.lit("P"), (number - 1).cast("string"))))
+    inputs = inputs.unionByName(inputs.where(number != 1).withColumn("id", F.concat(F.lit("P"), (number - 1).cast("string"))))
     found = profile_model.prediction_table(inputs, profile_model.score_phrases(_c2_model(spark, sf_dir), inputs))
     millionths = F.transform("decades", lambda e: F.concat(e["decade"], F.lit(":"), F.round(e["probability"] * 1000000).cast("bigint").cast("string")))
     return found.withColumn("decades", F.array_join(millionths, ","))

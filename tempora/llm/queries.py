@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, language_id, ngram_join, pii, suffix_dedup, url_filter
+from . import bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, pii, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_boilerplate(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encoded(_table(spark, sf_dir, "documents")))
 
@@ -65,6 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
+    "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
@@ -93,6 +99,21 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
         FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_seen USING (doc_id)
     """,
+    "op3_line_dedup": r"""
+        WITH page AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, page_id, string_split(coalesce(html, ''), chr(10)) AS lines,
+                   CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host
+            FROM pages),
+        line AS (SELECT row, page_id, host, unnest(lines) AS l, generate_subscripts(lines, 1) AS at FROM page),
+        keyed AS MATERIALIZED (SELECT *, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM line),
+        total AS (SELECT host, count(*) AS pages FROM page GROUP BY host HAVING count(*) >= 5),
+        often AS (SELECT host, k FROM keyed JOIN total USING (host) WHERE k <> '' GROUP BY host, k, pages HAVING 100 * count(DISTINCT row) > 50 * pages),
+        judged AS (SELECT keyed.*, often.k IS NOT NULL AS gone FROM keyed LEFT JOIN often USING (host, k))
+        SELECT page_id, host, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(l, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY row, page_id, host
+    """,
     "op5_suffix_dedup": r"""
         WITH hexed AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         places AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM hexed),

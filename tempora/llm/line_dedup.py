@@ -4,13 +4,14 @@ Pages are grouped by the host of their URL.  For each line of a host, the share
 taken, and lines above ``percent`` of 100 are boilerplate of that host: they are dropped from all its pages.  Hosts with fewer than
 ``least_pages`` pages are left alone (on a host of one page every line is on all pages), and a line of a single page is never dropped.
 
-A line is compared without the white space around it; empty lines are neither counted nor dropped.  A page's lines are
+Lines are cut after line breaks and before the tags of block elements, as they are shown on a page, and what stays is put
+together again byte by byte.  A line is compared without the white space around it; empty ones are neither counted nor dropped.  A page's lines are
 made distinct inside its row, so a page counts once; counts are summed before they are shuffled by host and line, so neither a
 host nor a line that holds a third of all rows meets in one task.  A host has at most (lines a page) * 100 / percent
 boilerplate lines; its list is joined to its pages, broadcast while the lists are counted to be few, else by a shuffle.
 
-Defined cases: a null URL and one without ``://`` have the empty host, which is a host like others; a null html is one empty
-line; repeated rows and null ids are pages like others; a share equal to the ratio is kept; an empty table gives an empty
+Defined cases: a null URL and one without ``://`` have the empty host, which is a host like others; a null or empty html has no
+lines; repeated rows and null ids are pages like others; a share equal to the ratio is kept; an empty table gives an empty
 result; other columns are ignored, whatever their names.
 """
 
@@ -26,6 +27,13 @@ PERCENT = 50
 LEAST_PAGES = 5
 MOST_BROADCAST = 1_000_000
 _WHITE = " \t\n\x0b\x0c\r"
+#: Block elements of HTML.
+BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
+_CUT = rf"(?<=\n)|(?i)(?=<(?:{BLOCKS})[ >/])"
+
+
+def _lines(html: Column) -> Column:
+    return F.filter(F.split(F.coalesce(html, F.lit("")), _CUT), lambda line: line != "")
 
 
 def _key(line: Column) -> Column:
@@ -36,7 +44,7 @@ def _key(line: Column) -> Column:
 
 def boilerplate(pages: DataFrame, percent: int = PERCENT, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host, keys: the lines that more than ``percent`` of 100 of a host's pages contain."""
-    rows = pages.select(parts(F.col("url"))[0].alias("host"), F.split(F.coalesce("html", F.lit("")), "\n").alias("lines"))
+    rows = pages.select(parts(F.col("url"))[0].alias("host"), _lines(F.col("html")).alias("lines"))
     # The page itself is counted as the empty key, so totals come from the same aggregate.
     keys = F.array_union(F.array_distinct(F.filter(F.transform("lines", _key), lambda k: k.isNotNull())), F.array(F.lit("")))
     counts = handed_over(rows.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line_counts")
@@ -52,8 +60,8 @@ def without_boilerplate(pages: DataFrame, percent: int = PERCENT, least_pages: i
     lists = handed_over(boilerplate(pages, percent, least_pages), "boilerplate").select(F.col("host").alias("_host"), "keys")
     if (lists.agg(F.sum(F.size("keys"))).first()[0] or 0) <= MOST_BROADCAST:
         lists = F.broadcast(lists)
-    rows = pages.select("page_id", parts(F.col("url"))[0].alias("host"), F.split(F.coalesce("html", F.lit("")), "\n").alias("lines"))
+    rows = pages.select("page_id", parts(F.col("url"))[0].alias("host"), _lines(F.col("html")).alias("lines"))
     known = rows.join(lists, F.col("host") == F.col("_host"), "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
     stays = known.withColumn("stays", F.filter("lines", lambda line: ~F.coalesce(F.array_contains(F.col("keys"), _key(line)), F.lit(False))))
     return stays.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stays")).cast("long").alias("n_dropped"),
-                        F.array_join("stays", "\n").alias("kept"))
+                        F.array_join("stays", "").alias("kept"))

@@ -101,18 +101,20 @@ ORACLES = {
     """,
     "op3_line_dedup": r"""
         WITH page AS MATERIALIZED (
-            SELECT row_number() OVER () AS row, page_id, string_split(coalesce(html, ''), chr(10)) AS lines,
+            SELECT row_number() OVER () AS rid, page_id, list_filter(string_split(replace(regexp_replace(coalesce(html, ''),
+                       '(?i)(<(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)[ >/])',
+                       chr(1) || '\1', 'g'), chr(10), chr(10) || chr(1)), chr(1)), lambda x: x <> '') AS lines,
                    CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'),
                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host
             FROM pages),
-        line AS (SELECT row, page_id, host, unnest(lines) AS l, generate_subscripts(lines, 1) AS at FROM page),
+        line AS (SELECT rid, page_id, host, unnest(lines) AS l, generate_subscripts(lines, 1) AS pos FROM page),
         keyed AS MATERIALIZED (SELECT *, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM line),
         total AS (SELECT host, count(*) AS pages FROM page GROUP BY host HAVING count(*) >= 5),
-        often AS (SELECT host, k FROM keyed JOIN total USING (host) WHERE k <> '' GROUP BY host, k, pages HAVING 100 * count(DISTINCT row) > 50 * pages),
+        often AS (SELECT host, k FROM keyed JOIN total USING (host) WHERE k <> '' GROUP BY host, k, pages HAVING 100 * count(DISTINCT rid) > 50 * pages),
         judged AS (SELECT keyed.*, often.k IS NOT NULL AS gone FROM keyed LEFT JOIN often USING (host, k))
-        SELECT page_id, host, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-               sha256(coalesce(string_agg(l, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
-        FROM judged GROUP BY row, page_id, host
+        SELECT page.page_id, page.host, count(l) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(l, '' ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM page LEFT JOIN judged USING (rid) GROUP BY rid, page.page_id, page.host
     """,
     "op5_suffix_dedup": r"""
         WITH hexed AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),

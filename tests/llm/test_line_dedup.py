@@ -1,3 +1,4 @@
+import re
 from collections import Counter, defaultdict
 
 from tempora.llm import line_dedup
@@ -10,18 +11,18 @@ def brute(rows, percent, least):
     hosts = defaultdict(list)
     for page_id, url, html in rows:
         host = (url or "").partition("://")[2].split("/")[0].lower() if "://" in (url or "") else ""
-        hosts[host].append((page_id, (html or "").split("\n")))
+        hosts[host].append((page_id, [x for x in re.split(line_dedup._CUT.replace("(?i)", ""), html or "") if x]))
     out = []
     for host, pages in hosts.items():
         counts = Counter(k for _, lines in pages for k in {x.strip(WHITE) for x in lines} - {""})
         drop = {k for k, n in counts.items() if len(pages) >= least and n > 1 and 100 * n > percent * len(pages)}
         for page_id, lines in pages:
             kept = [x for x in lines if x.strip(WHITE) not in drop]
-            out.append((page_id, host, len(lines), len(lines) - len(kept), "\n".join(kept)))
+            out.append((page_id, host, len(lines), len(lines) - len(kept), "".join(kept)))
     return sorted(out, key=str)
 
 
-ROWS = [(i, f"http://A.org/{i}", f"<nav>\n  menu {i % 2}\nbody {i}\n\n</nav>\r\nhalf" + ("\nrare" if i < 3 else "") + "\n<nav>") for i in range(8)]
+ROWS = [(i, f"http://A.org/{i}", f"<nav>\n  menu {i % 2}\nbody {i}\n\n</nav>\r\nhalf<p class=x>para</p><p>own {i}</p><pa>" + ("\nrare" if i < 3 else "") + "\n<nav>") for i in range(8)]
 ROWS += [(20 + i, f"https://b.net/{i}", "<nav>\nsame") for i in range(4)]                       # too few pages to judge
 ROWS += [(30 + i, None if i % 2 else "no scheme", f"x\ny {i}") for i in range(6)]
 ROWS += [(40, "http://A.org/40", None), (41, "http://A.org/41", ""), (None, "http://A.org/42", "half\nhalf"), (43, "http://c.org/", "z" * 5000), (0, "http://A.org/0", ROWS[0][2])]

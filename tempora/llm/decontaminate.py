@@ -3,7 +3,8 @@
 The index has one posting (term, doc, pos) for each place of the corpus where a term of the test items stands, stored as
 a Parquet table.  Every window of test words (13 consecutive words of an item, or a shorter item as a whole) is looked
 up from its rarest terms, by their number of postings: the lists of its three rarest terms, adjusted by the terms'
-offsets, are intersected, which leaves alignments (item, doc, shift: the item's first word would stand there).  The
+offsets, are intersected, which leaves alignments (item, doc, shift: the item's first word would stand there; below 0 in a
+document that begins inside the item).  The
 lists of all terms of the aligned items are then intersected with these alignments; runs of consecutive item words
 that all stand in place and are as long as a window are exact phrase matches.  :func:`near_matches` gives the
 documents in which an item's rarest terms stand close together in any order.
@@ -80,7 +81,7 @@ def alignments(index: DataFrame, test: DataFrame, n_test: int, window_words: int
     lists = [index.join(_small(wanted.select(F.col(f"t{k}").alias("term")).distinct(), n_test), "term", "left_semi") for k in range(1, RAREST + 1)]
     first = lists[0].withColumnRenamed("term", "t1")
     found = first.join(_small(wanted, n_test), "t1").select("item", *_DOC, (F.col("pos") - F.col("a1")).alias("shift"),
-                                                            *(f"{c}{k}" for k in range(2, RAREST + 1) for c in "ta")).where("shift >= 0")
+                                                            *(f"{c}{k}" for k in range(2, RAREST + 1) for c in "ta"))
     for k in range(2, RAREST + 1):
         # A window of fewer words has no k-th term: nothing to intersect.
         here, there = found, lists[k - 1].select(F.col("term").alias("_t"), F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), F.col("pos").alias("_p"))

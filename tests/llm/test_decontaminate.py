@@ -48,6 +48,15 @@ def test_equals_brute_force(tables):
     assert rows_of(decontaminate.contamination(frame, table)) == brute(docs, items)
 
 
+def test_documents_that_begin_inside_an_item(spark, documents, prose):
+    item = words(prose(7, 60))[:40]
+    docs = [(1, " ".join(item[20:])), (2, " ".join(item[27:])), (3, " ".join(item[10:30]) + " " + prose(500, 60)), (4, " ".join(item[28:])), (5, " ".join(item[20:33]) + " x " + " ".join(item[3:18]))]
+    table = spark.createDataFrame([(1, " ".join(item)), (2, prose(8, 30))], "item_id long, text string")
+    got = rows_of(decontaminate.contamination(documents(docs), table))
+    assert got == brute(docs, [(1, " ".join(item)), (2, prose(8, 30))])
+    assert [n_hit for _, _, n_hit, *_ in got] == [20, 13, 20, 0, 28]
+
+
 def test_by_shuffles_alone(tables, monkeypatch):
     docs, items, frame, table = tables
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)

@@ -4,9 +4,12 @@ Patterns find e-mail addresses, IP addresses, card numbers and telephone numbers
 labels the tokens of a document that hold a digit or ``@`` (all other tokens are outside by definition) as outside or
 one of the four kinds.  Its log potentials are a token's shape, the labels of neighbours at most ``NEAR`` code points
 apart (chain), and the labels of distant tokens that repeat it or have the same digits (skip links, which tie each
-token to the one before with the same key, so their number is that of the tokens).  Tokens in base spans are held at
+token to the one before with the same key, and to a token in a base span with that key: the last before it, else the first
+after it; so they are at most twice as many as the tokens).  Tokens in base spans are held at
 their kind; loopy message passing carries the evidence through the document, so a number that the patterns know in
-one place is found where it stands without its usual marks.  Spans that the field adds never overlap base spans.
+one place is found where it stands without its usual marks, however many repeats lie between.  Messages are passed until
+they stand still; only the ones that still change are computed again.  As loops may swing for ever, there is a bound on
+the rounds, which grows with the longest chain of links.  Spans that the field adds never overlap base spans.
 
 The weights maximise the pseudo-likelihood of labels from the base spans, on the documents with the ``max_training``
 least hashes of their ids (those of them with at most ``MOST_TOKENS`` tokens).  A token outside all base spans that repeats one
@@ -36,7 +39,10 @@ LABELS = 1 + len(KINDS)
 NEAR = 2
 MAX_TRAINING = 4000
 MOST_TOKENS = 256
+#: Rounds for each link of the longest chain, and for how many links at least.
 ROUNDS = 20
+LEAST_LINKS = 50
+STILL = 1e-5
 CONFIDENCE = 0.8
 AGREEMENT = 3.0
 KEY_DIGITS = 5
@@ -127,7 +133,7 @@ class Graph:
 
     @classmethod
     def of(cls, text: str, base: list[tuple[int, int, int]]) -> Graph:
-        graph, last_of = cls([], [], [], []), {}
+        graph, last_of, held_of, early = cls([], [], [], []), {}, {}, {}
         ordered, next_base = sorted((s, e, k) for k, s, e in base), 0
         for m in _TOKEN.finditer(text):
             i, (start, end) = len(graph.spans), m.span()
@@ -142,9 +148,24 @@ class Graph:
             if (k := key(m[0])) is not None:
                 if k in last_of:
                     graph.links.append((last_of[k], i, 1))
+                if inside:
+                    graph.links += ((j, i, 1) for j in early.pop(k, []) if j != last_of[k])
+                    held_of[k] = i
+                elif k not in held_of:
+                    early.setdefault(k, []).append(i)
+                elif held_of[k] != last_of[k]:
+                    graph.links.append((held_of[k], i, 1))
                 last_of[k] = i
         return graph
 
+    def longest_chain(self) -> int:
+        """The most links in a row, in the order of the text, between tokens without a label."""
+        longest = [0] * len(self.spans)
+        for a, b, _ in sorted(self.links, key=lambda link: link[1]):
+            if not self.labels[a] and not self.labels[b]:
+                longest[b] = max(longest[b], longest[a] + 1)
+        return max(longest, default=0)
+
     def add(self, other: Graph) -> None:
         n = len(self.spans)
         self.spans += other.spans
@@ -170,18 +191,26 @@ class Field:
             a, b, kind = np.asarray(graph.links).T
             source, target, kind = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([kind, kind])
             back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-            message = np.zeros((len(source), LABELS))
-            for _ in range(ROUNDS):
-                belief = own.copy()
-                np.add.at(belief, target, message)
-                sent = (belief[source] - message[back])[:, :, None] + self.links[kind]
+            message, belief = np.zeros((len(source), LABELS)), own.copy()
+            # Held tokens need no messages.
+            wanted = held[target] == 0
+            due = np.flatnonzero(wanted)
+            for _ in range(ROUNDS * max(LEAST_LINKS, graph.longest_chain())):
+                sent = (belief[source[due]] - message[back[due]])[:, :, None] + self.links[kind[due]]
                 top = sent.max(axis=1)
                 new = top + np.log(np.exp(sent - top[:, None, :]).sum(axis=1))
                 new -= new.max(axis=1, keepdims=True)
                 # Half a step each round keeps loops from swinging.
-                step, message = np.abs(new - message).max(), (new + message) / 2
-                if step < 1e-4:
+                step = (new - message[due]) / 2
+                message[due] += step
+                np.add.at(belief, target[due], step)
+                moved = np.abs(step).max(axis=1) >= STILL
+                if not moved.any():
                     break
+                again, fresh = np.zeros(len(source), bool), np.zeros(len(own), bool)
+                again[due[moved]] = True
+                fresh[target[due[moved]]] = True
+                due = np.flatnonzero(wanted & (again | fresh[source]))
             np.add.at(own, target, message)
         p = np.exp(own - own.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)

@@ -54,6 +54,31 @@ def test_message_passing_equals_enumeration_on_a_tree():
     assert np.allclose(field.marginals(graph), total / total.sum(axis=1, keepdims=True), atol=1e-3)
 
 
+def test_messages_run_until_they_stand_still():
+    links = np.zeros((2, pii.LABELS, pii.LABELS))
+    links[1] = 8 * np.eye(pii.LABELS)
+    n = 60
+    # A chain of repeats without evidence of their own, after one that is held.
+    graph = pii.Graph([(0, 1)] * n, [[0]] * n, [4] + [0] * (n - 1), [(i - 1, i, 1) for i in range(1, n)])
+    belief = pii.Field(np.zeros((pii.FEATURES, pii.LABELS)), links).marginals(graph)
+    step = np.exp(links[1]) / np.exp(links[1]).sum(axis=1, keepdims=True)
+    want = np.array([np.linalg.matrix_power(step, i)[4] for i in range(n)])
+    assert np.allclose(belief, want, atol=1e-3)
+    assert (belief[:, 4] >= pii.CONFIDENCE).all()
+
+
+def test_far_repeats_of_a_marked_number(documents):
+    """Some hundred bare repeats after, before and around the one place with marks."""
+    texts = {k: "some words here 5551234567 and " * before + "call +5551234567 now " + "more 5551234567 of it " * after
+             for k, (before, after) in enumerate([(0, 300), (300, 0), (150, 150)])}
+    rows = [(i, known_and_bare(i)) for i in range(60)] + [(200 + i, "just 12345 words 4.0 and 99") for i in range(40)]
+    field = pii.trained(documents(rows))
+    got = {r.doc_id: r.spans for r in pii.found(documents(list(texts.items())), field).collect()}
+    for k, text in texts.items():
+        want = [f"phone:{m.start()}:{m.end()}" for m in re.finditer(r"\+?5551234567", text)]
+        assert len(want) == 301 and got[k].split(",") == want
+
+
 def known_and_bare(n):
     """A number with its mark, and the same number without it, far away; and the same shapes as mere quantities."""
     draw = random.Random(n)

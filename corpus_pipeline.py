@@ -14,7 +14,7 @@ from tempora.llm.shared import handed_over
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, or no letter in it) go."""
+    """Documents whose language can't be told (no text, or no letter in it) go, however far the nearest profile is."""
     profiles = language_id.trained(docs.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.recognised(docs, profiles)
 

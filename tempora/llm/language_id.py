@@ -133,13 +133,16 @@ def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def recognised(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language can be told (not ``und``)."""
+    """The rows of ``docs``, with all their columns, whose language can be told (not ``und``); without a profile, those with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = docs_columns.index("text")
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.nearest(text)[0] != UNKNOWN for text in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([stays(text) for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    def stays(text: str | None) -> bool:
+        return shared.value.nearest(text)[0] != UNKNOWN if shared.value.languages else bool(text) and len(ngram_counts(text)[0]) > 0
 
     docs_columns = docs.columns
     return docs.mapInArrow(run, docs.schema)

@@ -89,3 +89,11 @@ def test_rejected_documents_go_with_all_columns_kept(documents, rows):
     kept = language_id.recognised(frame, language_id.trained(frame))
     assert kept.columns == frame.columns
     assert sorted((r.text for r in kept.collect())) == sorted(t for _, t, _ in rows if t and any(c.isalpha() for c in t))
+
+
+def test_without_profiles_documents_with_a_letter_stay(documents, rows):
+    frame = documents([(doc_id, text, None) for doc_id, text, _ in rows])
+    profiles = language_id.trained(frame)
+    assert profiles.languages == []
+    kept = language_id.recognised(frame, profiles)
+    assert sorted((r.text for r in kept.collect())) == sorted(t for _, t, _ in rows if t and any(c.isalpha() for c in t))

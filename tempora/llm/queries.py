@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, pii, suffix_dedup, url_filter
+from . import bpe, chat_format, decontaminate, exact_dedup, importance, language_id, line_dedup, merkle, ngram_join, packing, pii, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.built(docs := _table(spark, sf_dir, "documents"), merkle.tampered(docs["doc_id"], docs["text"])))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024, longest_run=1, buckets=10_000)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(packing.packed(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
@@ -78,9 +90,79 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_pii": op10_pii,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_packing": op13_packing,
 }
 
+#: CRC-32 (table and fold over bytes), which DuckDB lacks.
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(hex({bytes})) // 2), lambda i: CAST('0x' || substr(hex({bytes}), 2 * i + 1, 2) AS BIGINT))),
+                lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+_LEAF = "sha256(concat({}))".format(", ".join("coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')".format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")))
+
 ORACLES = {
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE """ + _CRC_TABLE + """,
+        leaves AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, doc_id, source, """ + _LEAF.format(text="text") + """ AS leaf, CASE WHEN
+                """ + _CRC.format(bytes="encode(CAST(doc_id AS VARCHAR))") + """ % 2 = 0 THEN """ + _LEAF.format(text="replace(text, chr(10), '')") + """ END AS altered
+            FROM documents, crc_table),
+        placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos FROM leaves),
+        level AS (
+            SELECT source, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM placed
+            UNION ALL
+            SELECT source, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM level WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+        beside AS MATERIALIZED (
+            SELECT source, lvl, pos, n, h, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM level WINDOW w AS (PARTITION BY source, lvl, pos // 3 ORDER BY pos)),
+        climb AS (
+            SELECT rid, source, 0 AS lvl, pos, coalesce(altered, leaf) AS folded, '' AS proof FROM placed
+            UNION ALL
+            SELECT rid, c.source, c.lvl + 1, c.pos // 3, sha256(l || folded || r), proof || l || r
+            FROM climb c JOIN beside b ON b.source IS NOT DISTINCT FROM c.source AND b.lvl = c.lvl AND b.pos = c.pos AND b.n > 1),
+        subroots AS MATERIALIZED (SELECT source, lvl AS height, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM level WHERE n = 1),
+        upper_level AS (
+            SELECT 0 AS lvl, place AS pos, subroot AS h, count(*) OVER () AS n FROM subroots
+            UNION ALL
+            SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM upper_level WHERE n > 1 GROUP BY lvl, pos // 3, n),
+        upper_beside AS MATERIALIZED (
+            SELECT lvl, pos, n, h, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM upper_level WINDOW w AS (PARTITION BY lvl, pos // 3 ORDER BY pos)),
+        upper_climb AS (
+            SELECT rid, subroot, 0 AS lvl, place AS pos, folded, proof FROM climb c JOIN subroots s ON s.source IS NOT DISTINCT FROM c.source AND s.height = c.lvl
+            UNION ALL
+            SELECT rid, subroot, c.lvl + 1, c.pos // 3, sha256(l || folded || r), proof || l || r FROM upper_climb c JOIN upper_beside b ON b.lvl = c.lvl AND b.pos = c.pos AND b.n > 1)
+        SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+        FROM leaves JOIN upper_climb USING (rid) JOIN upper_level t ON t.n = 1 AND t.lvl = upper_climb.lvl
+    """,
+    "op12_importance_resampling": r"""
+        WITH """ + _CRC_TABLE + r""",
+        texts AS MATERIALIZED (
+            SELECT 'd' AS kind, row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+            UNION ALL
+            SELECT 't', row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        held AS MATERIALIZED (SELECT kind, rid, w, count(*) AS c FROM (SELECT kind, rid, unnest(ws) AS w FROM texts) GROUP BY ALL),
+        bucket AS MATERIALIZED (SELECT w, """ + _CRC.format(bytes="encode(w)") + r""" % 10000 AS b FROM (SELECT DISTINCT w FROM held), crc_table),
+        counts AS (SELECT b, coalesce(sum(c) FILTER (WHERE kind = 'd'), 0) AS s, coalesce(sum(c) FILTER (WHERE kind = 't'), 0) AS t FROM held JOIN bucket USING (w) GROUP BY b),
+        whole AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts),
+        gain AS MATERIALIZED (
+            SELECT b, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(all_s AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(all_t AS DOUBLE) + 10000)))) AS BIGINT) AS g
+            FROM counts, whole),
+        weighed AS (SELECT rid, CAST(floor(CAST(sum(c * g) AS DOUBLE) / CAST(sum(c) AS DOUBLE)) AS BIGINT) AS weight
+                    FROM held JOIN bucket USING (w) JOIN gain USING (b) WHERE kind = 'd' GROUP BY rid),
+        scored AS (
+            SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+            FROM texts LEFT JOIN weighed USING (rid) WHERE kind = 'd'),
+        ranked AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id, weight DESC, n_features DESC) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (rid)
+    """,
     "op2_ngram_join": r"""
         WITH RECURSIVE ws AS MATERIALIZED (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: hand-over tables in the shared folder and 64-bit mixing."""
+"""Helpers shared by the operators: hand-over tables in the shared folder, global row numbers and 64-bit mixing."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,23 @@ def handed_over(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def numbered(frame: DataFrame, name: str, *order) -> DataFrame:
+    """``frame`` with ``number`` (long, from 0), its rows' place under ``order`` (columns or their names).
+
+    Rows are dealt by ranges and sorted within them; a row's place is its place in its range plus the rows of the ranges
+    before, so no task has more than a range.  Rows that are equal under ``order`` lie in one range: add a tie-breaker.
+    """
+    ranged = handed_over(frame, f"{name}-rows").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = handed_over(ranged.withColumn("_at", F.monotonically_increasing_id()), f"{name}-ranges")
+    part = F.shiftright("_at", 33)
+    # One row a range: as many as the shuffle has partitions.
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("_part", before.alias("_before")))
+    return (placed.withColumn("_part", part).join(starts, "_part")
+            .withColumn("number", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_at"))
+
+
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

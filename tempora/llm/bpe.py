@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import in_small_batches
+
 LEAF_CHARS = 32_768
 SAFE = 64
 
@@ -228,7 +230,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, leaf_chars: i
     """One row per row of ``docs``: doc_id, ids (array of int) and decoded, the text that the ids stand for."""
     vocabulary = vocabulary or Vocabulary.byte_bpe_50k()
     kind = docs.schema["doc_id"].dataType
-    base = docs.select("doc_id", "text")
+    base = in_small_batches(docs).select("doc_id", "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > leaf_chars
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     short = base.where(~long).mapInArrow(_short(vocabulary), out)

@@ -8,7 +8,8 @@ so there are no collisions.
 
 Copies that stand in one Arrow batch are folded into one entry before anything is shuffled, so a text that holds a
 third of all rows reaches the naming step as one entry a batch.  Sorting is done within 2**20 buckets of content (a
-name is ``rank in its bucket * 2**20 + bucket``), so no task sorts more than a few buckets.
+name is ``rank in its bucket * 2**20 + bucket``), so no task sorts more than a few buckets; a block that many different texts
+share (a common header) is one row there.
 
 Defined cases: a null text counts as empty, and all empty texts are copies of each other; a null doc_id is an
 ordinary row that loses every tie; rows that repeat a doc_id are rows of their own, and of equal rows one stays;
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,11 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import handed_over
+from .shared import handed_over, in_small_batches
 
 WHITE = b" \t\n\x0b\x0c\r"
 BLOCK_BYTES = 1024
 BUCKETS = 1 << 20
+FREQUENT = 10_000
+#: Names of a kilobyte each are broadcast while they are no more.
+MOST_BROADCAST = 8192
 
 
 def _entries(block_bytes: int):
@@ -63,10 +68,31 @@ def _entries(block_bytes: int):
 
 
 def _named(frame: DataFrame, *content: str) -> DataFrame:
-    """Replace the content columns by an integer ``name``, the same for equal contents only."""
-    bucket = F.pmod(F.xxhash64(*content), F.lit(BUCKETS))
+    """Replace the content columns by an integer ``name``, the same for equal contents only.
+
+    Contents of hashes that more than ``FREQUENT`` rows have are made distinct before they are ranked, within tasks first, and their
+    (negative) names are joined back; the rows of all others are ranked where they are.
+    """
+    hashed = frame.withColumn("_hash", F.xxhash64(*content))
+    bucket = F.pmod(F.col("_hash"), F.lit(BUCKETS))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy(*content))
-    return frame.withColumn("bucket", bucket).withColumn("name", rank * F.lit(BUCKETS) + F.col("bucket")).drop("bucket", *content)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", bucket).withColumn("name", rank * F.lit(BUCKETS) + F.col("bucket")).drop("bucket")
+
+    frequent = handed_over(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT).select(F.col("_hash").alias("often")), "frequent")
+    n = frequent.count()
+    if not n:
+        return ranked(hashed).drop("_hash", *content)
+    # Read twice from here on: entries are numbered once.
+    hashed = handed_over(hashed, "contents")
+    known = F.broadcast(frequent) if n <= MOST_BROADCAST else frequent
+    rare = ranked(hashed.join(known, F.col("_hash") == F.col("often"), "left_anti")).drop("_hash", *content)
+    rows = hashed.join(known, F.col("_hash") == F.col("often"), "left_semi")
+    names = handed_over(ranked(rows.select("_hash", *content).distinct()).select(*(F.col(c).alias(f"_{c}") for c in content), (-F.col("name")).alias("name")), "names")
+    named = F.broadcast(names) if n <= MOST_BROADCAST else names
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in content))
+    return rare.unionByName(rows.join(named, same).select(*rare.columns))
 
 
 def duplicate_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -75,7 +101,7 @@ def duplicate_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     schema = T.StructType([T.StructField("entry", T.LongType()), T.StructField("n_blocks", T.LongType()), T.StructField("idx", T.LongType()),
                            T.StructField("block", T.BinaryType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("best", kind),
                            T.StructField("longest", T.LongType()), T.StructField("digest", T.StringType())])
-    cut = docs.select("doc_id", "text").mapInArrow(_entries(block_bytes), schema)
+    cut = in_small_batches(docs).select("doc_id", "text").mapInArrow(_entries(block_bytes), schema)
     blocks = handed_over(_named(cut, "block"), "blocks")
 
     # Names of pairs, until the longest text is down to one name.

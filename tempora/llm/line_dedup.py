@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency.
 
 Pages are grouped by the host of their URL.  For each line of a host, the share of the host's pages that contain it is
-taken, and lines above ``percent`` of 100 are boilerplate of that host: they are dropped from all its pages.  Hosts with fewer than
-``least_pages`` pages are left alone (on a host of one page every line is on all pages), and a line of a single page is never dropped.
+taken, and lines above ``percent`` of 100 are boilerplate of that host: they are dropped from all its pages.  A line of a
+single page is never dropped (on a host of one page every line is on all pages); a caller may also leave hosts with fewer than ``least_pages`` pages alone.
 
 Lines are cut after line breaks and before the tags of block elements, as they are shown on a page, and what stays is put
 together again byte by byte.  A line is compared without the white space around it; empty ones are neither counted nor dropped.  A page's lines are
@@ -24,7 +24,7 @@ from .shared import handed_over
 from .url_filter import parts
 
 PERCENT = 50
-LEAST_PAGES = 5
+LEAST_PAGES = 1
 MOST_BROADCAST = 1_000_000
 _WHITE = " \t\n\x0b\x0c\r"
 #: Block elements of HTML.

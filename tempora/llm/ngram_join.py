@@ -42,13 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import handed_over, mixed
+from .shared import handed_over, in_small_batches, mixed
 
 ORDERS = 3
 SLOTS = 1 << 24
 LEVELS = 12
 COUNTED = 2
-GROUP_SHINGLES = 2_000_000
+GROUP_SHINGLES = 1_000_000
 MOST_BROADCAST = 1_000_000
 PAIRS_A_MEMBER = 4
 OPEN_PAIRS_A_MEMBER = 64
@@ -344,7 +344,7 @@ def _groups_verified(shared, id_kind: pa.DataType):
 def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
-    base = docs.select("doc_id", "text")
+    base = in_small_batches(docs).select("doc_id", "text")
     shared = spark.sparkContext.broadcast(orders(base, k, percent))
 
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "a", "b")), T.StructField("prefix", T.ArrayType(T.LongType()))])

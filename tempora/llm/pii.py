@@ -263,10 +263,10 @@ def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trained(docs: DataFrame, max_training: int = MAX_TRAINING) -> Field:
-    """The field of a bounded sample: the documents with the least hashes of their ids."""
-    order = F.xxhash64("doc_id")
-    last = docs.select(order.alias("h")).orderBy("h").limit(max_training).agg(F.max("h")).first()[0]
-    sample = docs.where((order <= F.lit(last)) & F.col("text").isNotNull()).select("text").limit(max_training)
+    """The field of a bounded sample: the documents with the least hashes of id and text; equal rows count once."""
+    rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    last = rows.select("h").distinct().orderBy("h").limit(max_training).agg(F.max("h")).first()[0]
+    sample = rows.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).repartition("h").sortWithinPartitions("h").select("text")
     graph = Graph([], [], [], [])
     for row in sample.mapInArrow(_graphs, "shapes array<array<long>>, labels array<long>, links array<array<long>>").collect():
         graph.add(Graph([(0, 0)] * len(row.labels), row.shapes, row.labels, [tuple(x) for x in row.links]))

@@ -191,8 +191,8 @@ ORACLES = {
             FROM pages),
         line AS (SELECT rid, page_id, host, unnest(lines) AS l, generate_subscripts(lines, 1) AS pos FROM page),
         keyed AS MATERIALIZED (SELECT *, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM line),
-        total AS (SELECT host, count(*) AS pages FROM page GROUP BY host HAVING count(*) >= 5),
-        often AS (SELECT host, k FROM keyed JOIN total USING (host) WHERE k <> '' GROUP BY host, k, pages HAVING 100 * count(DISTINCT rid) > 50 * pages),
+        total AS (SELECT host, count(*) AS pages FROM page GROUP BY host),
+        often AS (SELECT host, k FROM keyed JOIN total USING (host) WHERE k <> '' GROUP BY host, k, pages HAVING count(DISTINCT rid) > 1 AND 100 * count(DISTINCT rid) > 50 * pages),
         judged AS (SELECT keyed.*, often.k IS NOT NULL AS gone FROM keyed LEFT JOIN often USING (host, k))
         SELECT page.page_id, page.host, count(l) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(l, '' ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256

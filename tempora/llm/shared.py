@@ -31,6 +31,18 @@ def handed_over(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(frame: DataFrame) -> DataFrame:
+    """``frame``, in a session whose Arrow batches hold at most ``BATCH_BYTES``: rows of texts are a few kilobytes each, and the default of
+    64 MB is held several times over (in the JVM's buffers, in Arrow and as Python objects) by each task.  No result depends on it."""
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, "64m").rstrip("bkmg")) != BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return frame
+
+
 def numbered(frame: DataFrame, name: str, *order) -> DataFrame:
     """``frame`` with ``number`` (long, from 0), its rows' place under ``order`` (columns or their names).
 

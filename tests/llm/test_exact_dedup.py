@@ -55,3 +55,15 @@ def test_empty_table_and_stage(documents, edges):
     frame = documents([(1, "x y"), (2, "xy"), (3, "z")])
     kept = exact_dedup.without_copies(frame)
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_blocks_that_many_texts_share(documents, monkeypatch):
+    """A common first block, and a common pair of blocks, are named once; the groups are the same as without that way."""
+    head = "".join(chr(97 + i % 26) for i in range(128))
+    rows = [(i, head + f"{i % 40:064d}" * 2) for i in range(160)] + [(500 + i, "only" * 16) for i in range(30)]
+    wanted = sorted(tuple(r) for r in exact_dedup.duplicate_groups(documents(rows), 64).collect())
+    for few in (8192, 0):
+        monkeypatch.setattr(exact_dedup, "FREQUENT", 20)
+        monkeypatch.setattr(exact_dedup, "MOST_BROADCAST", few)
+        table = documents(rows).repartition(16)
+        assert sorted(tuple(r) for r in exact_dedup.duplicate_groups(table, 64).collect()) == wanted

@@ -438,13 +438,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _llm():
-    """The queries of the subpackage ``llm`` and of the pipeline, or None where those files are absent."""
+    """The queries of the subpackage ``llm`` and of the pipeline, or None where they can't be imported."""
     try:
         import corpus_pipeline
         from tempora.llm import queries as llm_queries
-    except ModuleNotFoundError as error:
-        if error.name not in ("corpus_pipeline", "tempora.llm"):
-            raise
+    except ImportError:
         return None
     return llm_queries, corpus_pipeline
 

@@ -9,14 +9,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import FIXTURES
 from tempora.models import profile
 from tempora.operators.ingest import ingest
 from tempora.plans import evaluate
 from tempora.plans.build import BuildConfig, load_model, run_build
 from tempora.sources import archive
 
-RAW = os.path.join(FIXTURES, "raw")
+RAW = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures", "raw")
 
 
 def test_file_selection(spark):

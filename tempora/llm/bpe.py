@@ -5,7 +5,9 @@ enough, the pieces are dealt over the cluster and encoded as if each stood alone
 two by two, up the tree.  Only the neighbourhood of a join can be wrong.  A window around the join is encoded
 again, from a word start of the left half to a little beyond a word start of the right half; the window grows until
 it agrees with both: it begins at a word start that no later text can move, and it shares with the right half a
-word start, from which on both must go on alike.  Then left ids, window ids and right ids are put together.
+word start, from which on both must go on alike.  Then left ids, window ids and right ids are put together.  A word that goes on
+over the join, however long, is put together in the same way from tokens: only a window of its tokens is encoded again
+(:func:`joined_ids`).  What repeats with a short period has no agreement but at its end, and its right part is encoded again.
 
 The vocabulary is a file of ranks with its word pattern; one special string has an id of its own and is recognised
 in texts.  ``SAFE`` code points are more than the pattern's look-ahead or the special string can reach.
@@ -137,31 +139,68 @@ class Piece:
         return cls(raw.decode(), numbers, chars[at_byte[before]], before)
 
 
+def joined_ids(vocabulary: Vocabulary, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, int]:
+    """The ids of one word from those of its two parts, and how many ids the window had.
+
+    A run of tokens is what BPE makes of its bytes exactly if that holds for each two neighbours in it.  So a window of tokens around
+    the join is encoded again, and grows until it begins with the token it began with before and ends likewise: then all
+    neighbours are ones of the left part, of the window or of the right part.
+    """
+    coder, reach = _encoding(vocabulary), 16
+    while True:
+        i, j = max(0, len(left) - reach), min(len(right), reach)
+        window = np.asarray(coder._encode_single_piece(coder.decode_bytes([*left[i:].tolist(), *right[:j].tolist()])), dtype=np.int32)
+        if (i == 0 or window[0] == left[i]) and (j == len(right) or window[-1] == right[j - 1]):
+            return np.concatenate([left[:i], window, right[j:]]), len(left) - i + j
+        reach *= 2
+
+
 def joined(vocabulary: Vocabulary, left: Piece, right: Piece) -> Piece:
     """The piece of both texts, from both pieces and a window around their join."""
     if not left.text or not right.text:
         return left if left.text else right
     text, join, reach = left.text + right.text, len(left.text), 4 * SAFE
+    # From here on only the left text before the join decides what a word is.
+    i = max(0, int(np.searchsorted(left.starts, max(0, join - reach), "right")) - 1)
+    begin = int(left.starts[i]) if join - left.starts[i] >= SAFE else 0
+    i = i if begin else 0
     while True:
-        # From here on only the left text before the join decides what a word is.
-        i = max(0, int(np.searchsorted(left.starts, max(0, join - reach), "right")) - 1)
-        begin = int(left.starts[i]) if join - left.starts[i] >= SAFE else 0
-        i = i if begin else 0
-        end = min(len(text), join + reach)
-        window = Piece.of(vocabulary, text[begin:end])
-        if end == len(text):
-            return Piece(text, np.concatenate([left.ids[:left.before[i]], window.ids]),
-                         np.concatenate([left.starts[:i], window.starts + begin]), np.concatenate([left.before[:i], window.before + left.before[i]]))
         # A word start of both the window and the right text, past the join and well before the window's end.
-        both = np.intersect1d(window.starts + begin - join, right.starts)
-        both = both[(both >= SAFE) & (both <= reach - SAFE)]
+        end = min(len(text), join + reach)
+        starts = np.asarray(word_starts(vocabulary, text[begin:end]), dtype=np.int64) + begin
+        both = np.intersect1d(starts - join, right.starts)
+        both = both[(both >= SAFE) & (both <= reach - SAFE)] if end < len(text) else np.asarray([len(right.text)])
         if len(both):
-            j, k = np.searchsorted(window.starts, both[0] + join - begin), np.searchsorted(right.starts, both[0])
-            shift = left.before[i] + window.before[j] - right.before[k]
-            return Piece(text, np.concatenate([left.ids[:left.before[i]], window.ids[:window.before[j]], right.ids[right.before[k]:]]),
-                         np.concatenate([left.starts[:i], window.starts[:j] + begin, right.starts[k:] + join]),
-                         np.concatenate([left.before[:i], window.before[:j] + left.before[i], right.before[k:] + shift]))
+            break
         reach *= 2
+    stop = join + int(both[0])
+    k = int(np.searchsorted(right.starts, both[0]))
+    starts = starts[:np.searchsorted(starts, stop)]
+    ids = [_word_ids(vocabulary, left, right, text, int(a), int(b)) for a, b in zip(starts, [*starts[1:], stop])]
+    lengths = np.cumsum([0, *map(len, ids)])
+    before = left.before[i]
+    return Piece(text, np.concatenate([left.ids[:before], *ids, right.ids[right.before[k]:]]),
+                 np.concatenate([left.starts[:i], starts, right.starts[k:] + join]),
+                 np.concatenate([left.before[:i], lengths[:-1] + before, right.before[k:] - right.before[k] + before + lengths[-1]]))
+
+
+def _word_ids(vocabulary: Vocabulary, left: Piece, right: Piece, text: str, a: int, b: int) -> np.ndarray:
+    """The ids of the word from ``a`` to ``b``: those of a half that has it as a word, those of its parts, joined, if it goes on from the last word of the
+    left half to the first of the right one, else encoded."""
+    join = len(left.text)
+    if b <= join:
+        w = int(np.searchsorted(left.starts, a))
+        if left.starts[w] == a and left.starts[w + 1] == b:
+            return left.ids[left.before[w]:left.before[w + 1]]
+    elif a >= join:
+        w = int(np.searchsorted(right.starts, a - join))
+        if right.starts[w] == a - join and right.starts[w + 1] == b - join:
+            return right.ids[right.before[w]:right.before[w + 1]]
+    elif left.starts[-2] == a and right.starts[1] == b - join:
+        parts = left.ids[left.before[-2]:], right.ids[:right.before[1]]
+        if not {number for _, number in vocabulary.special} & {int(parts[0][0]), int(parts[1][0])}:
+            return joined_ids(vocabulary, *parts)[0]
+    return encode(vocabulary, text[a:b])
 
 
 def concatenated(vocabulary: Vocabulary, pieces: list[Piece]) -> Piece:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -47,3 +48,29 @@ def test_documents(documents, prose, edges, library):
 
 def test_empty_table(documents):
     assert bpe.encoded(documents([(1, "a")]).limit(0)).collect() == []
+
+
+def test_tokens_of_two_parts_are_joined(library):
+    """Words cut anywhere, of few letters and with characters of several bytes, are what the library makes of them whole."""
+    vocabulary, draw = bpe.Vocabulary.byte_bpe_50k(), random.Random(2)
+    coder = bpe._encoding(vocabulary)
+    for _ in range(5000):
+        word = "".join(draw.choices(draw.choice(["ab", "etaoin", "a", "éß日x", "inghert"]), k=draw.randrange(2, 100)))
+        cut = draw.randrange(1, len(word))
+        parts = (np.asarray(coder._encode_single_piece(p.encode()), np.int32) for p in (word[:cut], word[cut:]))
+        assert bpe.joined_ids(vocabulary, *parts)[0].tolist() == coder._encode_single_piece(word.encode())
+
+
+def test_two_megabytes_without_a_break(library, monkeypatch):
+    vocabulary, draw, windows, join = bpe.Vocabulary.byte_bpe_50k(), random.Random(6), [], bpe.joined_ids
+
+    def watched(*args):
+        found = join(*args)
+        windows.append(found[1])
+        return found
+
+    monkeypatch.setattr(bpe, "joined_ids", watched)
+    text = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=2_000_000))
+    whole = bpe.concatenated(vocabulary, [bpe.Piece.of(vocabulary, leaf) for leaf in bpe.leaves(text, bpe.LEAF_CHARS)])
+    assert whole.ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(windows) == 63 and max(windows) <= 64

@@ -24,11 +24,12 @@ from tempora.models import profile as profile_model  # noqa: E402
 from tempora.models import tfidf as tfidf_model  # noqa: E402
 from tempora.operators import corpus, embeddings, features, inspect, metrics, phrases, sampling  # noqa: E402
 from tempora.operators import timelines, validation  # noqa: E402
-from tempora.operators.ingest import phrases_of_articles  # noqa: E402
+from tempora.operators.ingest import articles_with_text, phrases_of_articles  # noqa: E402
 from tempora.plans.evaluate import metric_tables  # noqa: E402
-from tempora.session import shared_table  # noqa: E402
+from tempora.session import scratch_folder, shared_table  # noqa: E402
 from tempora.sources import corpora  # noqa: E402
-from tempora.sources.archive import articles_from_archive  # noqa: E402
+from tempora.sources.archive import articles_from_archive, write_archive  # noqa: E402
+from tempora.sources.datasets import read_dataset, write_partitioned  # noqa: E402
 from tempora.sources.jsonl import parse_inputs  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -415,7 +416,27 @@ def _c4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c4_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _c4(spark, sf_dir).withColumn("text", F.sha2("text", 256))
+    return _digested(_c4(spark, sf_dir))
+
+
+def _digested(articles: DataFrame) -> DataFrame:
+    return articles.withColumn("text", F.sha2("text", 256))
+
+
+def c4_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 written as archive files (one a month), and the first half of each year from 1905 to 2010 read from them."""
+    root = scratch_folder(spark, "archive")
+    write_archive(corpora.archive_from_documents(corpora.table(spark, sf_dir, "documents")), root)
+    return _digested(articles_with_text(spark, root, 1905, 2010, months=range(1, 7), source="documents"))
+
+
+def c4_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of C4 written by months; March and April written again with a part of their rows; all months read."""
+    root, articles = scratch_folder(spark, "rewritten"), _digested(_c4(spark, sf_dir))
+    write_partitioned(articles, root, "articles", sort_by="article_id")
+    again = articles.where("month IN (3, 4) AND word_count % 2 = 0").withColumn("section", F.lit("again"))
+    write_partitioned(again, root, "articles", sort_by="article_id")
+    return read_dataset(spark, root, "articles", columns=articles.columns, required=True)
 
 
 def c4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,6 +525,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c3_confusion": c3_confusion,
         "c3_confusion_matrix": c3_confusion_matrix,
         "c4_articles": c4_articles,
+        "c4_archive": c4_archive,
+        "c4_rewritten": c4_rewritten,
         "c4_phrases": c4_phrases,
         "c4_inputs": c4_inputs,
         "c3_run_comparison": c3_run_comparison,

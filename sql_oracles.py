@@ -315,6 +315,16 @@ SELECT article_id, source_id, content_hash, pub_date, year, month, {decade('year
        doc_id AS word_count, sha256({normalize_chars('c')}) AS text
 FROM c4_docs JOIN c4_chars USING (copy)"""
 
+_C4_ROWS = ORACLES["c4_articles"].replace("\nSELECT article_id", ",\nc4_rows AS (SELECT article_id") + ")\n"
+
+ORACLES["c4_archive"] = _C4_ROWS + "SELECT * FROM c4_rows WHERE month <= 6"
+
+ORACLES["c4_rewritten"] = _C4_ROWS.rstrip() + """,
+c4_again AS (SELECT * REPLACE ('again' AS section) FROM c4_rows WHERE month IN (3, 4) AND word_count % 2 = 0)
+SELECT * FROM c4_again
+UNION ALL
+SELECT r.* FROM c4_rows r LEFT JOIN (SELECT DISTINCT year, month FROM c4_again) a USING (year, month) WHERE a.year IS NULL"""
+
 ORACLES["c4_phrases"] = "WITH " + C4_PHRASES + """
 SELECT sha256('{"article_id": "' || article_id || '", "context": ' || to_json(context) || ', "phrase": "' || phrase || '"}') AS phrase_id,
        article_id, phrase_hash, phrase, context, sha256('{"context": ' || to_json(context) || '}') AS context_hash, p.year, p.month, p.decade, frequency

@@ -1,10 +1,11 @@
 """Text cleaning as Spark column expressions.
 
-Everything here is built from JVM-side functions (regexes, array and
-higher-order functions) so it stays inside Spark's code generation.  The only
-Python hop is Unicode NFKC, which Spark has no built-in for: it runs as an
-Arrow-batched pandas UDF and only receives texts that contain a character that
-NFKC could change (all other texts are passed as null and cost nothing).
+Nearly everything here is built from JVM-side functions (regexes, array and
+higher-order functions) so it stays inside Spark's code generation.  There are
+two Python hops over Arrow batches.  Unicode NFKC, which Spark has no built-in for,
+only receives texts that contain a character that NFKC could change (all other
+texts are passed as null and cost nothing).  The contexts of a row's phrases
+are looked up in one call a row (``phrase_contexts``).
 
 Semantics (what the functions compute):
 
@@ -27,7 +28,9 @@ import functools
 import sys
 import unicodedata
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,6 +220,47 @@ def context_window(normalized: Column, phrase: Column, radius: int = 40, lowered
     return F.trim(F.when(pos > 0, around).otherwise(head))
 
 
+#: Beyond so many characters times phrases, first occurrences come from one pass over the text for so many phrases at a time.
+PASS_WORK = 20_000_000
+PASS_PHRASES = 50_000
+
+
+def first_places(lowered: str, phrases: list[str]) -> list[int]:
+    """Where each phrase first stands in ``lowered`` (also inside a longer word); -1 where it doesn't.
+
+    Few phrases of a short text are searched one by one.  Else they are looked up in an index of first occurrences that one pass over the text
+    fills, so the work grows with the text and the phrases, not with their product.
+    """
+    if len(lowered) * len(phrases) <= PASS_WORK:
+        return [lowered.find(p) for p in phrases]
+    first: dict[str, int] = {}
+    for at in range(0, len(phrases), PASS_PHRASES):
+        wanted = ahocorasick.Automaton()
+        for phrase in filter(None, phrases[at:at + PASS_PHRASES]):
+            wanted.add_word(phrase, phrase)
+        wanted.make_automaton()
+        for end, phrase in wanted.iter(lowered):
+            if phrase not in first:
+                first[phrase] = end - len(phrase) + 1
+    return [first.get(p, -1) for p in phrases]
+
+
+def phrase_contexts(radius: int):
+    """An Arrow function of (normalized text, the same in lower case, array of phrases): the context of each phrase, as by
+    :func:`context_window`."""
+
+    def contexts(texts: pa.Array, lowered: pa.Array, phrases: pa.Array) -> pa.Array:
+        found = []
+        for text, low, wanted in zip(texts, lowered, phrases):
+            # A row without phrases has a null in their place.
+            text, low, wanted = text.as_py(), low.as_py(), [w or "" for w in wanted.as_py()]
+            head = text[:2 * radius].strip(" ")
+            found.append([text[max(0, p - radius):p + len(w) + radius].strip(" ") if p >= 0 else head for p, w in zip(first_places(low, wanted), wanted)])
+        return pa.array(found, pa.list_(pa.string()))
+
+    return F.arrow_udf(contexts, T.ArrayType(T.StringType()))
+
+
 # ---------------------------------------------------------------------------
 # Model features of a phrase
 # ---------------------------------------------------------------------------

@@ -65,9 +65,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/tempora-{uuid.uuid4().hex}/{name}"
+
+
 def shared_table(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written as a Parquet table in the shared folder and read back, so that later steps
     neither repeat its work nor depend on an executor's disk."""
-    path = f"{ensure_checkpoint_dir(frame.sparkSession)}/tempora-{uuid.uuid4().hex}/{name}"
+    path = scratch_folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

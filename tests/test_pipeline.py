@@ -19,13 +19,41 @@ RAW = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures", "raw"
 
 
 def test_file_selection(spark):
-    chosen = archive.select_archive_files(spark, RAW, start_year=1900, end_year=1960)
-    names = sorted(p.split("/raw/")[1] for p in chosen)
-    assert names == ["1900/01.json", "1900/02.json", "1955/07.json", "misc/extra.json"]
-    only_july = archive.select_archive_files(spark, RAW, months=[7])
-    assert sorted(p.split("/raw/")[1] for p in only_july) == ["1955/07.json", "misc/extra.json"]
+    def files(**asked):
+        return sorted(r.file_path.split("/raw/")[1] for r in archive.scan_archive(spark, RAW, **asked).collect())
+
+    assert files(start_year=1900, end_year=1960) == ["1900/01.json", "1900/02.json", "1955/07.json", "misc/extra.json"]
+    assert files(months=[7]) == ["1955/07.json", "misc/extra.json"]
+    assert files(years=[1955, 2020]) == ["1955/07.json", "2020/01.json", "misc/extra.json"]
+    assert archive.read_archive(spark, RAW + "/nowhere").collect() == []
     with pytest.raises(ValueError):
-        archive.select_archive_files(spark, RAW, start_year=2000, end_year=1990)
+        archive.scan_archive(spark, RAW, start_year=2000, end_year=1990)
+
+
+def files_opened(frame):
+    """The number of files that the scan of ``frame`` planned to read."""
+    frame.collect()
+    leaf = frame._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numFiles").value()
+
+
+def test_files_out_of_range_are_not_opened(spark):
+    every = files_opened(archive.scan_archive(spark, RAW))
+    some = archive.scan_archive(spark, RAW, start_year=1955, end_year=1955)
+    assert files_opened(some) == 2 < every
+
+
+def test_written_archive_is_read_back(spark, scratch):
+    records = archive.read_archive(spark, RAW)
+    before = sorted(records.select(F.to_json("doc")).collect())
+    archive.write_archive(records, scratch + "/copy")
+    again = archive.read_archive(spark, scratch + "/copy")
+    assert sorted(again.select(F.to_json("doc")).collect()) == before
+    names = {r.file_path.split("/raw/")[1].removeprefix("misc/") for r in records.select("file_path").distinct().collect()}
+    assert {r.file_path.split("/copy/")[1] for r in again.select("file_path").distinct().collect()} == names
+    # Written again, a file is replaced.
+    archive.write_archive(records.where("file_path LIKE '%1955%'"), scratch + "/copy")
+    assert sorted(archive.read_archive(spark, scratch + "/copy").select(F.to_json("doc")).collect()) == before
 
 
 def test_ingest_rules(spark):

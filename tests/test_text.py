@@ -1,6 +1,8 @@
 """Scalar text functions: normalization, tokens, cleaning, context, features."""
 
+import random
 import string
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +93,38 @@ def test_phrase_features(spark):
 def test_nfkc_guard_only_sends_changing_texts(spark):
     flags = many(spark, text.nfkc_may_change, ["plain ascii", "café crème", "ﬁ ligature", "Ｆｕｌｌ", "é"])
     assert flags == [False, False, True, True, True]
+
+
+def test_first_places_by_search_and_by_index(monkeypatch):
+    """A phrase inside a longer word counts when it comes first; the index finds what single searches find."""
+    draw = random.Random(4)
+    for _ in range(200):
+        lowered = "".join(draw.choice(["art", "party ", "the ", "é", "b", " ", "a-b'"]) for _ in range(draw.randrange(60)))
+        phrases = sorted({lowered[i:i + draw.randrange(1, 9)] for i in range(0, len(lowered), 3)} | {"absent", "art", "party the"} - {""})
+        wanted = [lowered.find(p) for p in phrases]
+        assert text.first_places(lowered, phrases) == wanted
+        with monkeypatch.context() as patch:
+            patch.setattr(text, "PASS_WORK", -1)
+            patch.setattr(text, "PASS_PHRASES", 3)
+            assert text.first_places(lowered, phrases) == wanted
+
+
+def test_phrase_contexts_equal_the_single_form(spark):
+    rows = [("The Party, a jet ENGINE flew over the café wall twice", ["party", "jet engine", "art", "not there", "over the caf", "wall twice"]),
+            ("", ["x"]), ("  short ", ["short"]), ("İstanbul is far away from the harbour of Genoa", ["far away", "genoa"])]
+    frame = spark.createDataFrame(rows, "t string, p array<string>")
+    got = frame.select(text.phrase_contexts(6)(F.col("t"), F.lower("t"), F.col("p")).alias("c")).collect()
+    single = frame.select(F.posexplode("p"), "t").select("t", "pos", text.context_window(F.col("t"), F.col("col"), 6).alias("c"))
+    assert sorted((r.t, r.pos, r.c) for r in single.collect()) == sorted((t, i, c) for (t, _), row in zip(rows, got) for i, c in enumerate(row.c))
+
+
+def test_long_text_is_passed_over_once():
+    """Two million characters with a hundred thousand phrases: one by one this would be 10**11 comparisons."""
+    draw = random.Random(9)
+    lowered = " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(300_000))
+    phrases = [" ".join(pair) for pair in zip(lowered.split()[::3], lowered.split()[1::3])]
+    start = time.monotonic()
+    places = text.first_places(lowered, phrases)
+    assert time.monotonic() - start < 60
+    assert all(lowered.startswith(p, at) and at >= 0 for p, at in zip(phrases, places))
+    assert [places[i] for i in range(0, 90_000, 9_000)] == [lowered.find(phrases[i]) for i in range(0, 90_000, 9_000)]

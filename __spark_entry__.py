@@ -12,10 +12,11 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from tempora.functions import ids, text  # noqa: E402
@@ -25,7 +26,7 @@ from tempora.models import tfidf as tfidf_model  # noqa: E402
 from tempora.operators import corpus, embeddings, features, inspect, metrics, phrases, sampling  # noqa: E402
 from tempora.operators import timelines, validation  # noqa: E402
 from tempora.operators.ingest import articles_with_text, phrases_of_articles  # noqa: E402
-from tempora.plans.evaluate import metric_tables  # noqa: E402
+from tempora.plans import evaluate  # noqa: E402
 from tempora.session import scratch_folder, shared_table  # noqa: E402
 from tempora.sources import corpora  # noqa: E402
 from tempora.sources.archive import articles_from_archive, write_archive  # noqa: E402
@@ -297,11 +298,43 @@ def c1_tfidf_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c1_tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tfidf_model.fit_tfidf(_c1_training(spark, sf_dir), max_rows=TFIDF_TRAINING_ROWS)
+    model = tfidf_model.fit_tfidf(shared_table(_c1_training(spark, sf_dir), "training"), max_rows=TFIDF_TRAINING_ROWS)
     scored = tfidf_model.score_tfidf(model, _c2_inputs(spark, sf_dir))
     return scored.select("id", F.inline_outer("decades"))
 
 
+def c1_tfidf_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that fit the classifier, with their labels."""
+    return tfidf_model.target_labels(tfidf_model.training_sample(shared_table(_c1_training(spark, sf_dir), "training"), TFIDF_TRAINING_ROWS))
+
+
+def c1_tfidf_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the classifier's scores, whatever the optimizer: one row a property."""
+    training = tfidf_model.training_sample(shared_table(_c1_training(spark, sf_dir), "training"), TFIDF_TRAINING_ROWS)
+    model = tfidf_model.fit_tfidf(training)
+    labels = tfidf_model.target_labels(training)
+    scored = shared_table(tfidf_model.score_tfidf(model, _c2_inputs(spark, sf_dir).select("id", "phrase").unionByName(labels.select(F.concat(F.lit("T:"), "phrase").alias("id"), "phrase"))), "scores")
+    cells = scored.select("id", F.inline_outer("decades"))
+    per_input = cells.groupBy("id").agg(F.count("decade").alias("cells"), F.count_distinct("decade").alias("decades"), F.sum("probability").alias("total"))
+    # The mean loss on the rows it was fitted to must be below that of their label frequencies.
+    known = cells.join(labels.select(F.concat(F.lit("T:"), "phrase").alias("id"), F.col("label").alias("decade")), ["id", "decade"])
+    rows = Window.partitionBy(F.lit(1))
+    prior = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.col("n") / F.sum("n").over(rows))
+    loss = known.agg(F.avg(-F.log(F.greatest("probability", F.lit(1e-12)))).alias("loss"))
+    prior_loss = prior.agg((-F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("prior_loss"))
+    best = cells.where("id LIKE 'T:%'").groupBy("id").agg(F.max_by("decade", "probability").alias("best"))
+    hits = best.join(labels.select(F.concat(F.lit("T:"), "phrase").alias("id"), "label"), "id").agg(F.avg((F.col("best") == F.col("label")).cast("double")).alias("share"))
+
+    def row(name: str, frame: DataFrame, value) -> DataFrame:
+        return frame.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("property"), "value")
+
+    found = [row("inputs", per_input, F.count(F.lit(1))), row("cells", per_input, F.sum("cells")), row("uneven", per_input, F.count_if(F.col("cells") != F.col("decades"))),
+             row("sums_off", per_input, F.count_if(F.abs(F.col("total") - 1) > 1e-6)), row("outside", cells, F.count_if(~F.col("probability").between(0, 1))),
+             row("no_better_than_frequencies", loss.join(F.broadcast(prior_loss), F.col("loss") >= F.col("prior_loss")), F.count(F.lit(1))),
+             row("half_of_training_rows_missed", hits, F.count_if(F.col("share") < 0.5))]
+    return reduce(DataFrame.unionAll, found)
+
+
 def _validation_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An input set from every part: the name as id (names repeat), the type
     as phrase, and a decade from the size that is sometimes out of range."""
@@ -375,19 +408,28 @@ def c3_confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(_c3(spark, sf_dir))
 
 
-def _evaluation(predictions: DataFrame) -> DataFrame:
-    """The evaluation job's headline: accuracy beside the means of the report, from one scan of the predictions."""
-    tables = metric_tables(predictions)
-    return _r10(tables["accuracy"].withColumn("_one", F.lit(1)).join(tables["classification_summary"].withColumn("_one", F.lit(1)), "_one").select(
-        "total", "top1_accuracy", "top3_accuracy", "mean_absolute_decade_error", "macro_f1_score", "weighted_f1_score"),
-        "top1_accuracy", "top3_accuracy", "mean_absolute_decade_error", "macro_f1_score", "weighted_f1_score")
+def _two_runs(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of two stored runs: all predictions, and those of odd orders (written twice: the second time replaces the first)."""
+    predictions, out = _c3(spark, sf_dir), scratch_folder(spark, "runs")
+    evaluate.store_run(predictions.limit(0), out, "odd")
+    evaluate.store_run(predictions, out, "all")
+    evaluate.store_run(predictions.where(F.col("id").cast("bigint") % 2 == 1), out, "odd")
+    return out
 
 
 def c3_run_comparison(spark, sf_dir):
-    """Two runs side by side: all predictions, and those of odd orders."""
-    predictions = _c3(spark, sf_dir)
-    odd = predictions.where(F.col("id").cast("bigint") % 2 == 1)
-    return _evaluation(predictions).withColumn("run_id", F.lit("all")).unionByName(_evaluation(odd).withColumn("run_id", F.lit("odd")))
+    """Two stored runs side by side, and which is the latest."""
+    out = _two_runs(spark, sf_dir)
+    headline, _ = evaluate.compare_runs(spark, out, ["all", "odd"])
+    rates = ("top1_accuracy", "top3_accuracy", "mean_absolute_decade_error", "macro_f1_score", "weighted_f1_score")
+    latest = evaluate.latest_run(spark, out).withColumnRenamed("run_id", "latest_id")
+    headline = headline.join(F.broadcast(latest), headline["run_id"] == latest["latest_id"], "left")
+    return _r10(headline.select("run_id", "total", *rates, F.col("latest_id").isNotNull().alias("latest")), *rates)
+
+
+def c3_run_distribution(spark, sf_dir):
+    """Predicted decades of two stored runs, a column a run."""
+    return evaluate.compare_runs(spark, _two_runs(spark, sf_dir), ["all", "odd"])[1].withColumnsRenamed({"all": "all_rows", "odd": "odd_rows"})
 
 
 def c3_classification_report(spark, sf_dir):
@@ -514,6 +556,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c1_profile_weights": c1_profile_weights,
         "c1_tfidf_grams": c1_tfidf_grams,
         "c1_tfidf_scores": c1_tfidf_scores,
+        "c1_tfidf_sample": c1_tfidf_sample,
+        "c1_tfidf_properties": c1_tfidf_properties,
         "c2_validation_errors": c2_validation_errors,
         "c2_validation_decades": c2_validation_decades,
         "c2_validation_sizes": c2_validation_sizes,
@@ -530,6 +574,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c4_phrases": c4_phrases,
         "c4_inputs": c4_inputs,
         "c3_run_comparison": c3_run_comparison,
+        "c3_run_distribution": c3_run_distribution,
         "c3_classification_report": c3_classification_report,
         "c3_classification_summary": c3_classification_summary,
         "c3_sample_summary": c3_sample_summary,

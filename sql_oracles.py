@@ -485,7 +485,12 @@ FROM (SELECT sum(e) AS support, coalesce(2.0 * sum(hit) / nullif(sum(e) + sum(p)
             UNION ALL SELECT predicted, 0, 1, 0 FROM lab WHERE {condition}) GROUP BY label)"""
 
 
-ORACLES["c3_run_comparison"] = C3 + ",\nlab AS (SELECT * FROM c3_lab)" + _headline("all", "true") + "\nUNION ALL" + _headline("odd", "CAST(id AS BIGINT) % 2 = 1")
+ORACLES["c3_run_comparison"] = (C3 + ",\nlab AS (SELECT * FROM c3_lab)\nSELECT *, run_id = 'odd' AS latest FROM (" + _headline("all", "true") + "\nUNION ALL"
+                                + _headline("odd", "CAST(id AS BIGINT) % 2 = 1") + ")")
+
+ORACLES["c3_run_distribution"] = C3 + """
+SELECT coalesce(top_decade, 'None') AS top_decade, CAST(count(*) AS BIGINT) AS all_rows,
+       CAST(count(*) FILTER (WHERE CAST(id AS BIGINT) % 2 = 1) AS BIGINT) AS odd_rows FROM c3_pred GROUP BY 1"""
 
 ORACLES["c3_sample_summary"] = C3 + """
 SELECT CAST(count(*) AS BIGINT) AS total_inputs,
@@ -552,6 +557,24 @@ SELECT gram, count(*) AS n, count(DISTINCT phrase) AS df,
 FROM c1_tg GROUP BY gram"""
 
 
+_C1_SAMPLE = "WITH " + C1_PHRASES.lstrip() + C1_CHAIN + """,
+c1_lab AS (SELECT phrase, decade AS label FROM c1_features QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY target_probability DESC, decade) = 1),
+c1_quota AS (SELECT label, count(*) AS n, ceil(5000.0 / count(*) OVER ()) AS quota FROM c1_lab GROUP BY label),
+c1_chosen AS (
+  SELECT phrase, label FROM c1_lab JOIN c1_quota USING (label)
+  WHERE CAST('0x' || substr(md5(phrase), 1, 8) AS HUGEINT) * n < CAST(quota AS HUGEINT) * 4294967296
+)"""
+
+ORACLES["c1_tfidf_sample"] = _C1_SAMPLE + "SELECT phrase, label FROM c1_chosen"
+
+ORACLES["c1_tfidf_properties"] = _C1_SAMPLE + """,
+c1_sizes AS (SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM c1_chosen) AS inputs,
+                    (SELECT count(DISTINCT decade) FROM c1_features JOIN c1_chosen USING (phrase)) AS decades)
+SELECT 'inputs' AS property, inputs AS value FROM c1_sizes
+UNION ALL SELECT 'cells', inputs * decades FROM c1_sizes
+UNION ALL SELECT unnest(['uneven', 'sums_off', 'outside', 'no_better_than_frequencies', 'half_of_training_rows_missed']), 0"""
+
+
 C2_MODEL = C2_PHRASES + f""",
 c2_tw AS (
   SELECT DISTINCT phrase, ln(1 + coalesce(nullif(total_count, 0), 1)) AS w,

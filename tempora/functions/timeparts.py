@@ -1,6 +1,6 @@
 """Year, month and decade columns.
 
-* year of a publication date: the leading 4 digits of the trimmed text (every
+* year of a publication date: the leading 4 digits of the text without white space around it (every
   accepted date format starts with them; the written year is kept, no time
   zone shift), else null;
 * month: characters 6-7 when they are two digits and not ``00``, else the
@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tempora.functions.text import strip_whitespace
+
 
 def year_from_pub_date(pub_date: Column) -> Column:
-    value = F.trim(pub_date)
+    value = strip_whitespace(pub_date)
     return F.when(value.rlike("^[0-9]{4}"), F.substring(value, 1, 4).cast("int"))
 
 

@@ -121,10 +121,13 @@ def _labels(counts: DataFrame) -> DataFrame:
             .union(counts.select(F.col("predicted_decade").alias("label"))).distinct())
 
 
-def confusion_matrix(predictions: DataFrame) -> DataFrame:
+def confusion_matrix(predictions: DataFrame, max_labels: int = MAX_PIVOT_LABELS) -> DataFrame:
     """The square matrix over the union of expected and predicted labels in long, dense form: (expected, predicted,
-    count), 0 where a pair never occurs."""
+    count), 0 where a pair never occurs.  More labels than ``max_labels`` are an error, none is left out."""
     counts = confusion_counts(predictions)
+    # A matrix has labels x labels cells, so their number is checked before it is unfolded.
+    if _labels(counts).limit(max_labels + 1).count() > max_labels:
+        raise ValueError(f"more than {max_labels} labels: use confusion_counts")
     # One row with the array of labels, unfolded to both sides: as many rows as the matrix has cells.
     cells = (_labels(counts).agg(F.collect_set("label").alias("labels"))
              .select(F.explode("labels").alias("expected"), "labels").select("expected", F.explode("labels").alias("predicted")))
@@ -136,10 +139,8 @@ def confusion_matrix(predictions: DataFrame) -> DataFrame:
 def confusion_pivot(predictions: DataFrame, max_labels: int = MAX_PIVOT_LABELS) -> DataFrame:
     """The matrix as a table for people: one row and one column per label, in decade order.  More labels than
     ``max_labels`` are an error, none is left out."""
-    cells = confusion_matrix(predictions)
-    rows = cells.select("expected").distinct().orderBy(decade_key(F.col("expected")), "expected").limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
-        raise ValueError(f"more than {max_labels} labels: use confusion_matrix")
+    cells = confusion_matrix(predictions, max_labels)
+    rows = cells.select("expected").distinct().orderBy(decade_key(F.col("expected")), "expected").collect()
     return cells.groupBy("expected").pivot("predicted", [r["expected"] for r in rows]).agg(F.sum("count"))
 
 

@@ -33,6 +33,7 @@ from tempora.sources.jsonl import write_training_jsonl
 STAGES = ("ingest", "aggregate", "features", "embeddings", "validate", "training_set", "train")
 #: Marks in the run table that all stages before it are to be done again.
 RESET = "reset"
+STARTED, FINISHED = "started", "finished"
 
 
 @dataclass(frozen=True)
@@ -54,24 +55,38 @@ class BuildConfig:
         return hashlib.sha256(payload.encode("utf-8")).hexdigest()
 
 
+#: The tables whose rows are counted when a stage is committed.
+STAGE_TABLES = {"ingest": ("articles", "phrases"), "aggregate": ("phrase_timelines", "phrase_statistics"), "features": ("features",),
+                "embeddings": ("embeddings",), "training_set": ("training_rows",)}
+_RUNS = "number long, run_key string, stage string, state string, result string, rows string, finished_at string"
+
+
+def _written_rows(spark: SparkSession, root: str, stage: str) -> str:
+    """Rows of the stage's tables, from the Parquet footers."""
+    tables = {name: datasets.read_dataset(spark, root, name) for name in STAGE_TABLES.get(stage, ())}
+    return json.dumps({name: None if t is None else t.count() for name, t in tables.items()}, sort_keys=True)
+
+
 def _finished(spark: SparkSession, root: str, run_key: str) -> set[str]:
+    """The stages whose tables are still those of ``run_key``.
+
+    Rows are numbered, so no clock decides.  What another configuration or a reset began after a stage was finished counts against
+    it, also when that one died before it was finished; so does a table that doesn't have the rows that were committed.
+    """
     runs = datasets.read_dataset(spark, root, "stage_runs")
     if runs is None:
         return set()
-    # The stages finished since the last time another configuration, or a reset, wrote to this root: only their
-    # tables are still those of ``run_key``.  The newest rows are enough (a run writes at most one per stage).
-    newest = runs.orderBy(F.desc("finished_at")).limit(len(STAGES) + 1).collect()
-    done: set[str] = set()
-    for row in newest:
-        if row["run_key"] != run_key or row["stage"] == RESET:
-            break
-        done.add(row["stage"])
-    return done
-
-
-def _mark(spark: SparkSession, root: str, run_key: str, stage: str, result: str) -> None:
-    row = [(run_key, stage, result, _dt.datetime.now(_dt.timezone.utc).isoformat())]
-    frame = spark.createDataFrame(row, "run_key string, stage string, result string, finished_at string")
+    other = runs.where((F.col("run_key") != run_key) | (F.col("stage") == RESET)).agg(F.coalesce(F.max("number"), F.lit(0)).alias("last"))
+    own = runs.where(F.col("number") > other.first()["last"])
+    last = own.groupBy("stage").agg(F.max_by(F.struct("state", "rows"), "number").alias("at")).select("stage", "at.*")
+    return {r.stage for r in last.collect() if r.state == FINISHED and r.rows == _written_rows(spark, root, r.stage)}
+
+
+def _mark(spark: SparkSession, root: str, run_key: str, stage: str, state: str, result: str = "") -> None:
+    runs = datasets.read_dataset(spark, root, "stage_runs")
+    number = 1 + (0 if runs is None else runs.agg(F.max("number")).first()[0])
+    rows = _written_rows(spark, root, stage) if state == FINISHED else ""
+    frame = spark.createDataFrame([(number, run_key, stage, state, result, rows, _dt.datetime.now(_dt.timezone.utc).isoformat())], _RUNS)
     frame.coalesce(1).write.mode("append").parquet(datasets.dataset_path(root, "stage_runs"))
 
 
@@ -84,7 +99,7 @@ def run_build(spark: SparkSession, config: BuildConfig, reset: bool = False,
     key = config.run_key()
     root = config.root
     if reset:
-        _mark(spark, root, key, RESET, "stages start over")
+        _mark(spark, root, key, RESET, STARTED)
     done = _finished(spark, root, key)
     results: dict[str, str] = {}
 
@@ -150,8 +165,9 @@ def run_build(spark: SparkSession, config: BuildConfig, reset: bool = False,
             results[stage] = "skipped"
             continue
         log(f"stage {stage}: started")
+        _mark(spark, root, key, stage, STARTED)
         results[stage] = actions[stage]()
-        _mark(spark, root, key, stage, results[stage])
+        _mark(spark, root, key, stage, FINISHED, results[stage])
         log(f"stage {stage}: finished ({results[stage]})")
     return results
 

@@ -1,11 +1,11 @@
 """Evaluation runs and run comparison.
 
 ``run_evaluation`` scores an input set with a model, computes every metric
-table and writes them under ``<output>/<table>/run_id=<id>/`` (dynamic
-partition overwrite, so re-running a run id replaces only that run), plus the
+table and writes them under ``<output>/<table>/run_id=<id>/`` (a folder is
+replaced as a whole, so re-running a run id replaces only that run), plus the
 predictions as JSON lines, the confusion matrix and the classification report
 as CSV, and a row in the ``runs`` table (the latest run is the one with the
-newest ``created_at``).
+highest number).
 
 ``compare_runs`` puts the headline metrics of several runs side by side and
 pivots their prediction distributions by run.
@@ -14,6 +14,8 @@ pivots their prediction distributions by run.
 from __future__ import annotations
 
 import datetime as _dt
+import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from tempora.functions.timeparts import decade_key
 from tempora.models import profile as profile_model
 from tempora.operators import metrics
 from tempora.session import shared_table
+from tempora.sources.datasets import dataset_exists
 from tempora.sources.jsonl import read_inputs, write_predictions_jsonl
 
 METRIC_TABLES = ("accuracy", "rates_by_decade", "rates_by_size", "confusion", "classification_report",
@@ -31,7 +34,6 @@ METRIC_TABLES = ("accuracy", "rates_by_decade", "rates_by_size", "confusion", "c
 def load_model(spark: SparkSession, model_type: str, path: str | None = None):
     """A model by its type: ``profile`` (the uniform fallback when there is none at ``path``) or ``tfidf``."""
     from tempora.models.tfidf import TfidfModel
-    from tempora.sources.datasets import dataset_exists
 
     if model_type == "profile":
         if path is None or not dataset_exists(spark, path, "prior"):
@@ -55,9 +57,10 @@ def predict(spark: SparkSession, inputs: DataFrame, model=None) -> DataFrame:
     return profile_model.prediction_table(inputs, scores(model, inputs))
 
 
-def metric_tables(predictions: DataFrame) -> dict[str, DataFrame]:
-    """Every metric table; the labelled ones read one aggregate, made in one scan."""
-    counts = shared_table(metrics.labelled_counts(predictions), "labelled_counts")
+def metric_tables(predictions: DataFrame, counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every metric table; the labelled ones read one aggregate (``counts``, or made in one scan)."""
+    if counts is None:
+        counts = shared_table(metrics.labelled_counts(predictions), "labelled_counts")
     return {
         "accuracy": metrics.accuracy_summary(counts),
         "rates_by_decade": metrics.rates_by_expected_decade(counts),
@@ -69,29 +72,43 @@ def metric_tables(predictions: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _write_run(frame: DataFrame, path: str, run_id: str) -> None:
-    (frame.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+def _run_path(output_dir: str, table: str, run_id: str) -> str:
+    return f"{output_dir.rstrip('/')}/{table}/run_id={run_id}"
 
 
 def run_evaluation(spark: SparkSession, input_path: str, output_dir: str, model=None, run_id: str | None = None,
-                   model_type: str = "profile") -> str:
+                   model_type: str | None = None, model_path: str | None = None) -> str:
+    """Score the inputs and store the run.  Without a ``model`` the one of ``model_type`` (``profile`` by default) at
+    ``model_path`` is loaded: an absent profile is the uniform fallback, an absent TF-IDF model an error."""
+    own_type = None if model is None else "profile" if isinstance(model, profile_model.ProfileModel) else "tfidf"
+    if own_type and model_type not in (None, own_type):
+        raise ValueError(f"the model is of type {own_type}, not {model_type}")
+    model_type = own_type or model_type or "profile"
+    model = load_model(spark, model_type, model_path) if model is None else model
+    return store_run(predict(spark, read_inputs(spark, input_path), model), output_dir, run_id, model_type, input_path)
+
+
+def store_run(predictions: DataFrame, output_dir: str, run_id: str | None = None, model_type: str = "profile", source: str = "") -> str:
+    """Write predictions and all metric tables of a run, then its row in ``runs``: a run counts once that row is there."""
+    spark = predictions.sparkSession
     run_id = run_id or _dt.datetime.now().strftime("%Y%m%d-%H%M%S")
     base = output_dir.rstrip("/")
-    inputs = read_inputs(spark, input_path)
-    # Predictions are written once (they are an output) and every metric
-    # table reads them back instead of re-scoring the inputs.
-    _write_run(predict(spark, inputs, model), f"{base}/prediction_rows", run_id)
-    predictions = (spark.read.parquet(f"{base}/prediction_rows").where(F.col("run_id") == run_id)
-                   .drop("run_id"))
-    write_predictions_jsonl(predictions, f"{base}/predictions/run_id={run_id}")
-    for name, table in metric_tables(predictions).items():
-        _write_run(table, f"{base}/{name}", run_id)
+
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", run_id):
+        raise ValueError(f"a run id has letters, digits, dots, hyphens and underscores: {run_id!r}")
 
     def of_run(name: str) -> DataFrame:
-        return spark.read.parquet(f"{base}/{name}").where(F.col("run_id") == run_id).drop("run_id")
+        return spark.read.parquet(_run_path(base, name, run_id))
+
+    # The folder of the run is written whole, so a run without rows replaces an earlier one of its id too.  Predictions
+    # are written once (they are an output) and every metric table reads them back instead of re-scoring the inputs.
+    predictions.write.mode("overwrite").parquet(_run_path(base, "prediction_rows", run_id))
+    written = of_run("prediction_rows")
+    write_predictions_jsonl(written, f"{base}/predictions/run_id={run_id}")
+    counts = shared_table(metrics.labelled_counts(written), "labelled_counts")
+    for name, table in metric_tables(written, counts).items():
+        table.write.mode("overwrite").parquet(_run_path(base, name, run_id))
 
-    counts = shared_table(metrics.labelled_counts(predictions), "labelled_counts")
     matrix = metrics.confusion_pivot(counts).withColumnRenamed("expected", "expected\\predicted")
     matrix.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}/confusion_matrix/run_id={run_id}")
     # The report, the summary and the headline numbers as JSON, a line per row.
@@ -103,25 +120,34 @@ def run_evaluation(spark: SparkSession, input_path: str, output_dir: str, model=
         "correct", "errors", "confused_with")
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(
         f"{base}/classification_report_csv/run_id={run_id}")
-    runs = spark.createDataFrame([(run_id, model_type, _dt.datetime.now(_dt.timezone.utc).isoformat(), input_path)],
-                                 "run_id string, model_type string, created_at string, input_path string")
+    # Runs are numbered, so the latest one doesn't hang on a clock.
+    number = 1
+    if dataset_exists(spark, base, "runs"):
+        number += spark.read.parquet(f"{base}/runs").agg(F.max("number")).first()[0]
+    runs = spark.createDataFrame([(run_id, number, model_type, _dt.datetime.now(_dt.timezone.utc).isoformat(), source)],
+                                 "run_id string, number long, model_type string, created_at string, input_path string")
     runs.coalesce(1).write.mode("append").parquet(f"{base}/runs")
     return run_id
 
 
 def latest_run(spark: SparkSession, output_dir: str) -> DataFrame:
     runs = spark.read.parquet(f"{output_dir.rstrip('/')}/runs")
-    return runs.agg(F.max_by("run_id", "created_at").alias("run_id"))
+    return runs.agg(F.max_by("run_id", "number").alias("run_id"))
 
 
 def compare_runs(spark: SparkSession, output_dir: str, run_ids: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(headline metrics per run, prediction distribution: decade x run)."""
+    """(headline metrics per run, prediction distribution: decade x run) of stored runs."""
     base = output_dir.rstrip("/")
-    accuracy = spark.read.parquet(f"{base}/accuracy").where(F.col("run_id").isin(*run_ids))
-    summary = spark.read.parquet(f"{base}/classification_summary").where(F.col("run_id").isin(*run_ids))
-    headline = accuracy.join(summary, "run_id").select(
-        "run_id", "top1_accuracy", "top3_accuracy", "mean_absolute_decade_error", "macro_f1_score",
+    stored = spark.read.parquet(f"{base}/runs").select("run_id").distinct()
+    missing = set(run_ids) - {r.run_id for r in stored.where(F.col("run_id").isin(*run_ids)).collect()}
+    if missing:
+        raise ValueError(f"no such runs: {sorted(missing)}")
+
+    def of_runs(name: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, (spark.read.parquet(_run_path(base, name, run)).withColumn("run_id", F.lit(run)) for run in run_ids))
+
+    headline = of_runs("accuracy").join(of_runs("classification_summary"), "run_id").select(
+        "run_id", "total", "top1_accuracy", "top3_accuracy", "mean_absolute_decade_error", "macro_f1_score",
         "weighted_f1_score", "confidence_correct_mean", "confidence_wrong_mean")
-    dist = (spark.read.parquet(f"{base}/prediction_distribution").where(F.col("run_id").isin(*run_ids))
-            .groupBy("top_decade").pivot("run_id", run_ids).agg(F.sum("count")).na.fill(0))
+    dist = of_runs("prediction_distribution").groupBy("top_decade").pivot("run_id", run_ids).agg(F.sum("count")).na.fill(0)
     return headline, dist

@@ -113,6 +113,39 @@ def test_stages_are_skipped_only_over_their_own_tables(spark, scratch, monkeypat
     monkeypatch.undo()
     results = run_build(spark, one, **quiet)
     assert results["ingest"] == "skipped" and results["aggregate"] != "skipped" and results["train"] == "written" and rows() == first
+    # Another configuration that dies while it writes a table: the stages of the first one are not taken for finished.
+    monkeypatch.setattr(build, "phrases_of_articles", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run_build(spark, other, **quiet)
+    monkeypatch.undo()
+    assert run_build(spark, one, **quiet)["ingest"] == "written" and rows() == first
+    # A table that lost rows since its stage was committed is made again.
+    spark.read.parquet(scratch + "/features").limit(1).write.mode("overwrite").parquet(scratch + "/cut")
+    spark.read.parquet(scratch + "/cut").write.mode("overwrite").parquet(scratch + "/features")
+    mended = run_build(spark, one, **quiet)
+    assert mended["aggregate"] == "skipped" and mended["features"] == "written" and rows() == first
+
+
+def test_stages_do_not_hang_on_the_clock(spark, scratch, monkeypatch):
+    """What another configuration began is newer, also by a clock that went back; a stage begun again is not finished."""
+    import tempora.plans.build as build
+
+    now = build._dt.datetime.now(build._dt.timezone.utc)
+    build._mark(spark, scratch, "one", "ingest", build.STARTED)
+    build._mark(spark, scratch, "one", "ingest", build.FINISHED)
+    build._mark(spark, scratch, "one", "aggregate", build.FINISHED)
+    assert build._finished(spark, scratch, "one") == {"ingest", "aggregate"} and build._finished(spark, scratch, "other") == set()
+    build._mark(spark, scratch, "one", "aggregate", build.STARTED)
+    assert build._finished(spark, scratch, "one") == {"ingest"}
+
+    class Earlier(build._dt.datetime):
+        @classmethod
+        def now(cls, tz=None):
+            return now - build._dt.timedelta(days=9)
+
+    monkeypatch.setattr(build._dt, "datetime", Earlier)
+    build._mark(spark, scratch, "other", "ingest", build.STARTED)
+    assert build._finished(spark, scratch, "one") == set()
 
 
 def test_model_loader(spark, scratch):
@@ -142,6 +175,30 @@ def test_evaluation_runs_and_comparison(spark, scratch):
     assert got["r1"] == pytest.approx(1.0) and got["r2"] == 0.0  # uniform fallback picks 1850s
     assert evaluate.latest_run(spark, out).first()["run_id"] == "r2"
     assert set(dist.columns) == {"top_decade", "r1", "r2"}
+    # An id again replaces that run alone, also by one without rows, and is the latest then.
+    predictions = spark.read.parquet(out + "/prediction_rows/run_id=r1")
+    evaluate.store_run(predictions.limit(0), out, "r1")
+    headline, _ = evaluate.compare_runs(spark, out, ["r1", "r2"])
+    assert {r["run_id"]: r["total"] for r in headline.collect()} == {"r1": 0, "r2": 2}
+    assert evaluate.latest_run(spark, out).first()["run_id"] == "r1"
+    with pytest.raises(ValueError):
+        evaluate.compare_runs(spark, out, ["r1", "r9"])
+    with pytest.raises(ValueError):
+        evaluate.store_run(predictions, out, "../r1")
+
+
+def test_evaluation_loads_the_model_it_names(spark, scratch):
+    path = os.path.join(scratch, "inputs.jsonl")
+    with open(path, "w", encoding="utf-8") as handle:
+        handle.write('{"id": "E1", "phrase": "gas lamp", "expected_decade": "1900s"}\n')
+    with pytest.raises(FileNotFoundError):
+        evaluate.run_evaluation(spark, path, scratch + "/out", run_id="a", model_type="tfidf", model_path=scratch + "/none")
+    with pytest.raises(ValueError):
+        evaluate.run_evaluation(spark, path, scratch + "/out", profile.ProfileModel.fallback(spark), run_id="a", model_type="tfidf")
+    profile.fit_profile(spark.createDataFrame([("gas lamp", {"1900s": 1.0})], "phrase string, target map<string,double>")).save(scratch + "/model")
+    evaluate.run_evaluation(spark, path, scratch + "/out", run_id="b", model_path=scratch + "/model")
+    assert evaluate.compare_runs(spark, scratch + "/out", ["b"])[0].first()["top1_accuracy"] == 1.0
+    assert spark.read.parquet(scratch + "/out/runs").select("run_id", "number", "model_type").collect() == [("b", 1, "profile")]
 
 
 def test_strict_inputs_fail_on_bad_rows(spark, scratch):

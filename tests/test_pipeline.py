@@ -61,7 +61,7 @@ def test_ingest_rules(spark):
     rows = {r["source_id"]: r for r in articles.collect()}
     assert set(rows) == {"archive://article/1900-wire-office", "archive://article/1900-horse-carriage",
                          "archive://article/misc-1", "archive://article/1955-jet", "archive://article/2019-stray",
-                         "archive://article/2020-streaming"}
+                         "archive://article/2020-turbine"}
     carriage = rows["archive://article/1900-horse-carriage"]
     assert carriage["month"] == 1 and carriage["section"] == "Metro"        # month 00 -> file name; desk fallback
     stray = rows["archive://article/2019-stray"]
@@ -82,7 +82,7 @@ def test_full_build_and_rerun(spark, scratch):
     for name in ("phrase_timelines", "phrase_statistics", "features", "embeddings", "training_dataset", "model"):
         assert os.path.isdir(os.path.join(scratch, name)), name
     model = load_model(spark, scratch)
-    inputs = spark.createDataFrame([("a", "gas lamps"), ("b", "streaming platform")],
+    inputs = spark.createDataFrame([("a", "gas lamps"), ("b", "tidal turbine")],
                                    "id string, phrase string")
     tops = {r["id"]: r["top_decade"] for r in
             profile.prediction_table(inputs, profile.score_phrases(model, inputs)).collect()}
@@ -162,9 +162,9 @@ def test_model_loader(spark, scratch):
 def test_evaluation_runs_and_comparison(spark, scratch):
     path = os.path.join(scratch, "inputs.jsonl")
     with open(path, "w", encoding="utf-8") as handle:
-        handle.write('{"id": "E1", "phrase": "telegram office", "expected_decade": "1900s"}\n\n')
-        handle.write('{"id": "E2", "phrase": "streaming platform", "expected_decade": "2020s"}\n')
-    training = spark.createDataFrame([("telegram office", {"1900s": 1.0}), ("streaming platform", {"2020s": 1.0})],
+        handle.write('{"id": "E1", "phrase": "harbour pilot", "expected_decade": "1900s"}\n\n')
+        handle.write('{"id": "E2", "phrase": "tidal turbine", "expected_decade": "2020s"}\n')
+    training = spark.createDataFrame([("harbour pilot", {"1900s": 1.0}), ("tidal turbine", {"2020s": 1.0})],
                                      "phrase string, target map<string,double>")
     model = profile.fit_profile(training)
     out = os.path.join(scratch, "runs")

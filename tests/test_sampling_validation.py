@@ -27,7 +27,7 @@ def test_input_sizes(spark):
 
 
 def test_validation_errors_and_summary(spark):
-    rows = [("K7", "tin whistle", "1940s"), ("K7", "brass kettle", "1910s"), (None, "nameless", "1940s"), ("M2", " ", "2030s"),
+    rows = [("K7", "tin whistle", "1940s"), ("K7", "brass kettle", "1910s"), (None, "nameless", "1940s"), ("M2", "", "2030s"),
             ("N4", "oak chest", None)]
     frame = spark.createDataFrame(rows, "id string, phrase string, expected_decade string")
     errors = sorted((r["error"], r["subject"]) for r in

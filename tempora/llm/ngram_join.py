@@ -48,6 +48,7 @@ ORDERS = 3
 SLOTS = 1 << 24
 LEVELS = 12
 COUNTED = 2
+COUNTED_TOGETHER = 4_000_000
 GROUP_SHINGLES = 2_000_000
 MOST_BROADCAST = 1_000_000
 PAIRS_A_MEMBER = 4
@@ -156,13 +157,22 @@ class Orders:
 
 
 def _counted(k: int, percent: int):
+    low = np.uint64(min(2 ** 64 - 1, 2 ** 64 * COUNTED * (100 - percent) // 100))
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+        kept = (counts > 1) | (mixed(found ^ _SEEDS[0]) < low)
+        return pa.RecordBatch.from_arrays([pa.array(found[kept].view(np.int64)), pa.array(counts[kept])], names=["shingle", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.uint64(min(2 ** 64 - 1, 2 ** 64 * COUNTED * (100 - percent) // 100))
+        # Batches are bounded in bytes; what is counted together is bounded in shingles, so copies meet here and not in the shuffle.
+        sets: list[np.ndarray] = []
         for batch in batches:
-            sets = shingle_sets(batch.column("text").to_pylist(), k)
-            found, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-            counted = (counts > 1) | (mixed(found ^ _SEEDS[0]) < low)
-            yield pa.RecordBatch.from_arrays([pa.array(found[counted].view(np.int64)), pa.array(counts[counted])], names=["shingle", "n"])
+            sets += shingle_sets(batch.column("text").to_pylist(), k)
+            if sum(map(len, sets)) >= COUNTED_TOGETHER:
+                yield counted(sets)
+                sets = []
+        yield counted(sets)
 
     return run
 

@@ -6,8 +6,9 @@ up from its rarest terms, by their number of postings: the lists of its three ra
 offsets, are intersected, which leaves alignments (item, doc, shift: the item's first word would stand there; below 0 in a
 document that begins inside the item).  The
 lists of all terms of the aligned items are then intersected with these alignments; runs of consecutive item words
-that all stand in place and are as long as a window are exact phrase matches.  :func:`near_matches` gives the
-documents in which an item's rarest terms stand close together in any order.
+that all stand in place and are as long as a window are exact phrase matches.  :func:`near_matches` reads the same index for
+proximity: the documents in which an item's three rarest terms (of those that occur at all, ties by the word) stand close together
+in any order; items with fewer such terms have no proximity match.
 
 Everything is DataFrame functions.  Postings come from one pass over the corpus; common words of long lists are read
 but only joined for documents that already have an alignment.  The terms and items of the test are broadcast
@@ -20,6 +21,8 @@ row, rows that share only the doc_id are documents of their own; a null doc_id o
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +61,7 @@ def with_hash(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """The index: term (a number of ``terms``: word, term), doc_id, doc_hash, pos; once for rows that repeat a document."""
+    """The index: term (a number of ``terms``: word, term), doc_id, doc_hash, pos; rows that repeat a document repeat its postings."""
     places = with_hash(docs).select(*_DOC, F.posexplode("words").alias("pos", "word"))
     return places.join(_small(terms, n_terms), "word").select("term", *_DOC, "pos")
 
@@ -92,15 +95,31 @@ def alignments(index: DataFrame, test: DataFrame, n_test: int, window_words: int
     return found.select("item", *_DOC, "shift").distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """doc_id, doc_hash, item_id, pos: every document word inside an occurrence of a window of the item."""
-    test = handed_over(item_words(items), "item_words")
-    terms = handed_over(test.select("word").distinct().withColumn("term", F.xxhash64("word")), "terms")
+@dataclass(frozen=True)
+class Index:
+    """The words of the test items, the postings of their terms, and the length of each term's list (term, n)."""
+
+    test: DataFrame
+    postings: DataFrame
+    lengths: DataFrame
+    n_test: int
+    n_terms: int
+
+
+def indexed(docs: DataFrame, items: DataFrame) -> Index:
+    test = handed_over(item_words(items).withColumn("term", F.xxhash64("word")), "item_words")
+    terms = handed_over(test.select("word", "term").distinct(), "terms")
     n_test, n_terms = test.count(), terms.count()
     index = handed_over(postings(docs, terms, n_terms), "postings")
-    rows = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    lengths = handed_over(index.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "list_lengths")
+    return Index(test, index, lengths, n_test, n_terms)
+
+
+def hits(at: Index, window_words: int = WINDOW_WORDS) -> DataFrame:
+    """doc_id, doc_hash, item_id, pos: every document word inside an occurrence of a window of the item."""
+    index, test, n_test = at.postings, at.test, at.n_test
     # Terms without a posting can't align: their windows go here.
-    counted = handed_over(test.withColumn("term", F.xxhash64("word")).join(_small(rows, n_terms), "term", "left").fillna(0, ["n"]), "counted_terms")
+    counted = handed_over(test.join(_small(at.lengths, at.n_terms), "term", "left").fillna(0, ["n"]), "counted_terms")
     found = handed_over(alignments(index, counted, n_test, window_words), "alignments")
     there = found.select(*_DOC).distinct()
     near = index.join(_small(there, there.count()), index["doc_id"].eqNullSafe(there["doc_id"]) & (index["doc_hash"] == there["doc_hash"]), "left_semi")
@@ -116,10 +135,11 @@ def hits(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS) ->
     return kept.join(_small(names, n_test), "item").select(*_DOC, "item_id", "pos")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS, span: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (at least one word and a
-    twentieth of all words are hit)."""
-    found = handed_over(hits(docs, items, window_words), "hits")
+    twentieth of all words are hit); with ``span`` also n_near, the items that have a proximity match within so many words."""
+    index = indexed(docs, items)
+    found = handed_over(hits(index, window_words), "hits")
     by_doc = (found.select(*_DOC, "pos").distinct().groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n_hit")))
     by_item = (found.select(*_DOC, "item_id").distinct().groupBy(*_DOC)
                .agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ",").alias("ids")))
@@ -127,33 +147,35 @@ def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_
     marks = a.join(b, a["doc_id"].eqNullSafe(b["_d"]) & (a["doc_hash"] == b["_h"])).select(F.col("doc_id").alias("_doc"), F.col("doc_hash").alias("_hash"), "n_hit", "n_items", "ids")
     sizes = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     result = sizes.join(_small(marks, marks.count()), sizes["doc_id"].eqNullSafe(marks["_doc"]) & (sizes["doc_hash"] == marks["_hash"]), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    n_hit, more = F.coalesce("n_hit", F.lit(0).cast("long")), []
+    if span is not None:
+        near = near_matches(index, span).select(*_DOC, "item_id").distinct().groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n_near"))
+        near = handed_over(near.select(F.col("doc_id").alias("_near_doc"), F.col("doc_hash").alias("_near_hash"), "n_near"), "near")
+        result = result.join(_small(near, near.count()), result["doc_id"].eqNullSafe(near["_near_doc"]) & (result["doc_hash"] == near["_near_hash"]), "left")
+        more = [F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near")]
     return result.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
                          F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
-                         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+                         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *more)
 
 
-def near_matches(docs: DataFrame, items: DataFrame, span: int = 25) -> DataFrame:
-    """item_id, doc_id, pos: places of an item's rarest term that has its two next rarest terms (other ones) at most
+def near_matches(at: Index, span: int = 25) -> DataFrame:
+    """item_id, doc_id, doc_hash, pos: places of an item's rarest term that has its two next rarest terms (other ones) at most
     ``span`` words away, in any order."""
-    test = handed_over(item_words(items), "item_words")
-    terms = handed_over(test.select("word").distinct().withColumn("term", F.xxhash64("word")), "terms")
-    n_test, n_terms = test.count(), terms.count()
-    index = handed_over(postings(docs, terms, n_terms).distinct(), "postings")
-    rows = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    counted = test.select("item", "item_id", F.xxhash64("word").alias("term")).distinct().join(_small(rows, n_terms), "term")
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "term"))
-    wanted = handed_over(counted.withColumn("rank", rank).where(F.col("rank") <= RAREST), "rarest_terms")
-    first = index.join(_small(wanted.where("rank = 1").select("item", "item_id", "term"), n_test), "term").drop("term")
+    counted = at.test.select("item", "item_id", "term", "word").distinct().join(_small(at.lengths, at.n_terms), "term")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "word"))
+    wanted = handed_over(counted.withColumn("rank", rank).where(F.col("rank") <= RAREST).select("item", "item_id", "term", "rank"), "near_terms")
+    # One pass over the index for the lists of all ranks.
+    lists = handed_over(at.postings.join(_small(wanted, at.n_test), "term").drop("term").distinct(), "near_lists")
+    first = lists.where("rank = 1").drop("rank")
     for k in range(2, RAREST + 1):
-        other = index.join(_small(wanted.where(F.col("rank") == k).select(F.col("item").alias("_i"), "term"), n_test), "term").drop("term")
         # Places are met by cells of span words, so that the join has equal keys; a place looks into its own and both next cells.
-        other = other.select("_i", F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), F.col("pos").alias("_p"), F.floor(F.col("pos") / span).alias("_cell"))
+        other = lists.where(F.col("rank") == k).select(F.col("item").alias("_i"), F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"),
+                                                       F.col("pos").alias("_p"), F.floor(F.col("pos") / span).alias("_cell"))
         cells = first.withColumn("cell", F.explode(F.array(*(F.floor(F.col("pos") / span) + step for step in (-1, 0, 1)))))
         met = cells.join(other, (cells["item"] == other["_i"]) & cells["doc_id"].eqNullSafe(other["_d"]) & (cells["doc_hash"] == other["_h"]) & (cells["cell"] == other["_cell"])
                          & (F.abs(cells["pos"] - other["_p"]) <= span), "left_semi")
         first = met.drop("cell").distinct()
-    return first.select("item_id", "doc_id", "pos")
+    return first.select("item_id", *_DOC, "pos")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:

@@ -35,7 +35,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), span=25)
 
 
 URL_RULES = [
@@ -200,9 +200,17 @@ ORACLES = {
     """,
     "op5_suffix_dedup": r"""
         WITH hexed AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        places AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM hexed),
+        pieces AS MATERIALIZED (
+            SELECT doc_id, 100 * k AS base, left(piece, 398) AS piece FROM (
+                SELECT doc_id, k, list_extract(cut, k + 1) || coalesce(list_extract(cut, k + 2), '') AS piece
+                FROM (SELECT doc_id, regexp_extract_all(h, '.{1,200}') AS cut, unnest(range(0, (len(h) + 199) // 200)) AS k FROM hexed))),
+        places AS MATERIALIZED (
+            SELECT doc_id, base + o AS i, substr(piece, 2 * o + 1, 200) AS bytes
+            FROM (SELECT doc_id, base, piece, unnest(range(0, least(100, len(piece) // 2 - 99))) AS o FROM pieces)),
+        twice AS MATERIALIZED (SELECT hash(bytes) AS name FROM places GROUP BY 1 HAVING count(*) > 1),
         again AS MATERIALIZED (
-            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY substr(h, 2 * i + 1, 200) ORDER BY doc_id, i) AS r FROM places) WHERE r > 1),
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, i) AS r
+                                   FROM places WHERE hash(bytes) IN (SELECT name FROM twice)) WHERE r > 1),
         marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS fresh FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
         runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
         spans AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM runs GROUP BY doc_id, run),
@@ -234,11 +242,26 @@ ORACLES = {
         met AS MATERIALIZED (SELECT s.doc_id, s.i, s.n, w.item_id FROM spots s JOIN windows w ON w.n = s.n AND w.phrase = s.phrase),
         hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
         ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS list
-                FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM met) GROUP BY doc_id)
+                FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM met) GROUP BY doc_id),
+        item_words AS MATERIALIZED (SELECT DISTINCT item_id, ws, w FROM (SELECT item_id, ws, unnest(ws) AS w FROM items)),
+        places AS MATERIALIZED (
+            SELECT doc_id, w, p FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM doc_words) WHERE w IN (SELECT w FROM item_words)),
+        rare AS MATERIALIZED (
+            SELECT item_id, ws, w, row_number() OVER (PARTITION BY item_id, ws ORDER BY n, w) AS r
+            FROM item_words JOIN (SELECT w, count(*) AS n FROM places GROUP BY w) USING (w)),
+        three AS MATERIALIZED (
+            SELECT item_id, ws, max(w) FILTER (WHERE r = 1) AS w1, max(w) FILTER (WHERE r = 2) AS w2, max(w) FILTER (WHERE r = 3) AS w3
+            FROM rare WHERE r <= 3 GROUP BY item_id, ws),
+        near AS (
+            SELECT doc_id, count(*) AS n_near FROM (
+                SELECT DISTINCT a.doc_id, t.item_id FROM three t JOIN places a ON a.w = t.w1
+                JOIN places b ON b.w = t.w2 AND b.doc_id = a.doc_id AND abs(b.p - a.p) <= 25
+                JOIN places c ON c.w = t.w3 AND c.doc_id = a.doc_id AND abs(c.p - a.p) <= 25) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(list, '')) AS items_sha256,
-               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-        FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+               coalesce(n_near, 0) AS n_near
+        FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
     "op9_chat_format": r"""
         WITH turns AS (

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 
@@ -72,8 +73,27 @@ def test_empty_tables(tables):
 def test_proximity(spark, documents):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = documents([(1, "gamma x x alpha x beta delta"), (2, "alpha " + "x " * 40 + "beta gamma delta"), (3, "alpha beta"), (4, "delta x gamma x alpha beta")])
-    near = decontaminate.near_matches(docs, items, span=6)
+    near = decontaminate.near_matches(decontaminate.indexed(docs, items), span=6)
     assert {r.doc_id for r in near.collect()} == {1, 4}
+    assert {r.doc_id: r.n_near for r in decontaminate.contamination(docs, items, span=6).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_proximity_of_all_documents(tables):
+    docs, items, frame, table = tables
+    taken = [(d, words(t)) for d, t in docs]
+    asked = {(i, tuple(words(t))) for i, t in items}
+    often = Counter(w for _, ws in taken for w in ws)
+    expected = []
+    for doc_id, ws in taken:
+        near = set()
+        for item_id, iw in asked:
+            rare = sorted({w for w in iw if often[w]}, key=lambda w: (often[w], w))[:3]
+            if len(rare) == 3 and any(w == rare[0] and all(r in ws[max(0, p - 8):p + 9] for r in rare[1:]) for p, w in enumerate(ws)):
+                near.add(item_id)
+        expected.append((doc_id, len(near)))
+    found = [(r.doc_id, r.n_near) for r in decontaminate.contamination(frame, table, span=8).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    assert any(n for _, n in expected)
 
 
 def test_no_python_in_the_plans(tables, capsys):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import handed_over
+from .shared import handed_over, removed
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = handed_over(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, handed_over(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        removed(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import handed_over, in_small_batches, mixed
+from .shared import handed_over, in_small_batches, mixed, removed, short_lived_shuffles
 
 ORDERS = 3
 SLOTS = 1 << 24
@@ -353,6 +353,11 @@ def _groups_verified(shared, id_kind: pa.DataType):
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
+    with short_lived_shuffles(docs.sparkSession):
+        return _similar(docs, k, percent)
+
+
+def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
     base = in_small_batches(docs).select("doc_id", "text")
     shared = spark.sparkContext.broadcast(orders(base, k, percent))
@@ -382,9 +387,12 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
     rep = T.StructField("rep", kind)
 
+    wanted = []
+
     def of_documents(reps: DataFrame, make, *fields: T.StructField) -> DataFrame:
         """What ``make`` derives from the texts of some documents; ids are broadcast while they are few."""
         reps = handed_over(reps.distinct(), "wanted")
+        wanted.append(reps)
         known = F.broadcast(reps) if reps.count() <= MOST_BROADCAST else reps
         return base.join(known, base["doc_id"] == known["rep"], "left_semi").mapInArrow(make, T.StructType([rep, *fields]))
 
@@ -393,6 +401,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     longs = [T.StructField(c, T.LongType()) for c in _GROUP]
     passed = T.StructType([*longs, rep, T.StructField("part", T.LongType()), T.StructField("partner", kind)])
     candidates = handed_over(tasks.select(*_GROUP, "rep", "size", "prefixes", "part").mapInArrow(_candidates(shared, id_kind), passed), "candidates")
+    removed(met, member)
     pairs = candidates.where("partner IS NOT NULL").select("rep", "partner").distinct()
     dense = candidates.where("partner IS NULL").drop("partner").distinct()
 

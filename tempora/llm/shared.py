@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,7 +30,31 @@ def handed_over(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.handed_over_at = path
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Remove hand-over tables whose last reader has written its own result; other frames stay as they are."""
+    for table in tables:
+        if path := getattr(table, "handed_over_at", None):
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes the shuffle files of each execution when it ends, not when the driver's garbage collector finds them: steps
+    that write their results need them no more.  A later execution of the same frame would compute them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 BATCH_BYTES = 8 << 20

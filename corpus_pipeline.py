@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join
-from tempora.llm.shared import handed_over
+from tempora.llm.shared import handed_over, removed
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = handed_over(stage(spark, docs, sf_dir), name)
+        before, docs = docs, handed_over(stage(spark, docs, sf_dir), name)
+        removed(before)
     return STAGES[-1][1](spark, docs, sf_dir)

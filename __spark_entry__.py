@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from tempora.functions import ids, text  # noqa: E402
+from tempora.functions.distribution import softmax_array, top_of_array  # noqa: E402
 from tempora.functions.sizes import input_size  # noqa: E402
 from tempora.models import profile as profile_model  # noqa: E402
 from tempora.models import tfidf as tfidf_model  # noqa: E402
@@ -31,7 +32,7 @@ from tempora.session import scratch_folder, shared_table  # noqa: E402
 from tempora.sources import corpora  # noqa: E402
 from tempora.sources.archive import articles_from_archive, write_archive  # noqa: E402
 from tempora.sources.datasets import read_dataset, write_partitioned  # noqa: E402
-from tempora.sources.jsonl import parse_inputs  # noqa: E402
+from tempora.sources.jsonl import parse_inputs, read_training_jsonl, write_training_jsonl  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -84,6 +85,19 @@ def _c1_uncontexted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("phrase_hash", ids.phrase_hash(F.col("phrase")))
 
 
+#: Texts beyond so many characters are counted by slices in ``c1_phrases_sliced``: nearly every document is cut.
+SLICE_CHARS = 400
+
+
+def c1_phrases_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All phrases of every row (ids repeat, as in ``c1_phrases_repeated``), long texts by slices."""
+    docs = corpora.table(spark, sf_dir, "documents")
+    again = docs.where("doc_id % 2 = 1").withColumn("doc_id", F.floor(F.col("doc_id") / 2).cast("bigint"))
+    found = phrases.extract_phrases(corpora.articles_from_documents(docs.unionByName(again)), "doc_id", "text",
+                                    carry=["year", "month", "decade"], context_radius=None, long_chars=SLICE_CHARS)
+    return found.withColumn("phrase_hash", ids.phrase_hash(F.col("phrase")))
+
+
 def c1_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r10(timelines.phrase_timelines(_c1_uncontexted(spark, sf_dir)), "normalized_frequency")
 
@@ -97,6 +111,13 @@ def c1_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r10(features.build_features(found, min_count=2), "temporal_entropy", "decade_score", "target_probability")
 
 
+def c1_inspect_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target decades of every phrase with features, asked in capitals; C1 has 12 decades, so the first five are a part."""
+    found = shared_table(features.build_features(timelines.phrase_timelines(_c1_uncontexted(spark, sf_dir)), min_count=2), "features")
+    asked = found.select(F.upper("phrase").alias("phrase"))
+    return _r10(inspect.inspect_targets(asked, found), "target_probability", "decade_score")
+
+
 def c1_corpus_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.corpus_distribution(articles=corpora.c1_articles(spark, sf_dir),
                                       phrases=_c1_uncontexted(spark, sf_dir))
@@ -167,6 +188,23 @@ def c2_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
         "temporal_entropy", "target_sum")
 
 
+def c2_training_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training set exported as JSON lines in phrase order and read back, a row for each probability."""
+    path = scratch_folder(spark, "training-jsonl")
+    write_training_jsonl(_c2_training(spark, sf_dir), path)
+    rows = read_training_jsonl(spark, path).select("phrase", "phrase_hash", "features.*", F.explode("target").alias("decade", "probability"))
+    return _r10(rows, "temporal_entropy", "probability")
+
+
+def c2_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Softmax of each phrase's decade scores, and the decade on top."""
+    found = _c2_features(spark, sf_dir)
+    # At most one entry a decade.
+    scores = found.groupBy("phrase_hash").agg(F.sort_array(F.collect_list(F.struct("decade", F.col("decade_score").alias("probability")))).alias("s"))
+    soft = scores.withColumn("d", softmax_array(F.col("s"))).withColumn("top", top_of_array(F.col("d")))
+    return _r10(soft.select("phrase_hash", F.col("top.decade").alias("top_decade"), F.inline("d")), "probability")
+
+
 def c2_target_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.target_census(_c2_training(spark, sf_dir))
 
@@ -278,8 +316,7 @@ def _c1_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.training_set(features.build_features(timelines.phrase_timelines(found), min_count=2))
 
 
-# The TF-IDF model is trained on the first rows (phrase order) of the training
-# set: a documented bound on the rows that fit the classifier.
+# A documented bound on the rows that fit the classifier (chosen by hash).
 TFIDF_TRAINING_ROWS = 5000
 
 
@@ -352,6 +389,17 @@ def c2_validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         min_per_decade=VALIDATION_MIN_PER_DECADE)
 
 
+def c2_validation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of an input set in which ids, phrases or decades are null or empty in some rows."""
+    rows, size = _validation_inputs(spark, sf_dir).withColumn("n", F.length("id") + F.length("phrase")), F.length("phrase")
+
+    def gaps(name: str, null: int, empty: int):
+        return F.when(F.col("n") % 7 == null, None).when(size % 7 == empty, "").otherwise(F.col(name)).alias(name)
+
+    gapped = rows.select(gaps("id", 1, 2), gaps("phrase", 3, 4), gaps("expected_decade", 5, 6))
+    return validation.validation_errors(gapped, require_expected=True)
+
+
 def c2_validation_decades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.decade_counts(_validation_inputs(spark, sf_dir))
 
@@ -524,9 +572,11 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c1_phrases": c1_phrase_rows,
         "c1_top_phrases": c1_top_phrases,
         "c1_phrases_repeated": c1_phrases_repeated,
+        "c1_phrases_sliced": c1_phrases_sliced,
         "c1_timelines": c1_timelines,
         "c1_statistics": c1_statistics,
         "c1_features": c1_features,
+        "c1_inspect_targets": c1_inspect_targets,
         "c1_corpus_distribution": c1_corpus_distribution,
         "c1_sampled_articles": c1_sampled_articles,
         "c1_input_sizes": c1_input_sizes,
@@ -538,6 +588,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c2_ranked_decades": c2_ranked_decades,
         "c2_features": c2_features,
         "c2_training_set": c2_training_set,
+        "c2_training_exchange": c2_training_exchange,
+        "c2_softmax": c2_softmax,
         "c2_target_census": c2_target_census,
         "c2_target_census_summary": c2_target_census_summary,
         "c2_embedding_manifest": c2_embedding_manifest,
@@ -559,6 +611,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c1_tfidf_sample": c1_tfidf_sample,
         "c1_tfidf_properties": c1_tfidf_properties,
         "c2_validation_errors": c2_validation_errors,
+        "c2_validation_gaps": c2_validation_gaps,
         "c2_validation_decades": c2_validation_decades,
         "c2_validation_sizes": c2_validation_sizes,
         "c2_validation_summary": c2_validation_summary,

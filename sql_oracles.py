@@ -221,6 +221,16 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, phrase)
 ORACLES["c1_phrases_repeated"] = "WITH " + C1_PHRASES.lstrip().replace("FROM documents\n", f"FROM ({C1_TWICE}) AS twice\n") + """
 SELECT doc_id, year, month, decade, phrase, frequency, context, phrase_hash FROM c1_phrases"""
 
+ORACLES["c1_phrases_sliced"] = "WITH " + C1_PHRASES.lstrip().replace("FROM documents\n", f"FROM ({C1_TWICE}) AS twice\n") + """
+SELECT doc_id, year, month, decade, phrase, frequency, phrase_hash FROM c1_phrases"""
+
+ORACLES["c1_inspect_targets"] = "WITH " + C1_PHRASES.lstrip() + C1_CHAIN + f"""
+SELECT upper(phrase) AS asked, phrase AS cleaned_phrase, phrase_hash, decade, {r10('target_probability', 'target_probability')},
+       decade_raw_count, {r10('decade_score', 'decade_score')},
+       CAST(row_number() OVER (PARTITION BY phrase ORDER BY target_probability DESC, decade) AS INTEGER) AS target_rank,
+       row_number() OVER (PARTITION BY phrase ORDER BY target_probability DESC, decade) <= 5 AS is_top
+FROM c1_features"""
+
 ORACLES["c1_statistics"] = "WITH " + C1_PHRASES.lstrip() + C1_CHAIN + f"""
 SELECT phrase_hash, phrase, first_year, last_year, peak_year, peak_decade, total_count,
        {r10('temporal_entropy', 'temporal_entropy')}
@@ -680,6 +690,20 @@ SELECT phrase, phrase_hash, first_year, last_year, peak_year, peak_decade, total
 FROM c2_features
 GROUP BY phrase, phrase_hash, first_year, last_year, peak_year, peak_decade, total_count, temporal_entropy"""
 
+ORACLES["c2_training_exchange"] = C2_PHRASES + f"""
+SELECT phrase, phrase_hash, first_year, last_year, peak_year, peak_decade, total_count,
+       {r10('temporal_entropy', 'temporal_entropy')}, decade, {r10('target_probability', 'probability')}
+FROM c2_features"""
+
+ORACLES["c2_softmax"] = C2_PHRASES + f""",
+c2_soft AS (
+  SELECT phrase_hash, decade, decade_score, exp(decade_score - max(decade_score) OVER (PARTITION BY phrase_hash)) AS e
+  FROM c2_features
+)
+SELECT phrase_hash, first_value(decade) OVER (PARTITION BY phrase_hash ORDER BY decade_score DESC, decade) AS top_decade, decade,
+       {r10('e / sum(e) OVER (PARTITION BY phrase_hash)', 'probability')}
+FROM c2_soft"""
+
 ORACLES["c2_target_census"] = C2_PHRASES + C2_ARGMAX + """
 SELECT decade, n AS rows, first AS first_phrase FROM c2_census"""
 
@@ -855,3 +879,23 @@ FROM v_sz GROUP BY 1"""
 ORACLES["c2_validation_summary"] = V_IN + """
 SELECT CAST((SELECT count(*) FROM v_in) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS errors, count(*) = 0 AS valid
 FROM v_errors"""
+
+V_GAPS = """
+WITH g_in AS (
+  SELECT p_name AS id, lower(p_type) AS phrase, CAST(1850 + (p_size % 20) * 10 AS VARCHAR) || 's' AS expected,
+         (length(p_name) + length(p_type)) % 7 AS n, length(p_type) % 7 AS m
+  FROM part
+),
+g AS (
+  SELECT CASE WHEN n = 1 THEN NULL WHEN m = 2 THEN '' ELSE id END AS id,
+         CASE WHEN n = 3 THEN NULL WHEN m = 4 THEN '' ELSE phrase END AS phrase,
+         CASE WHEN n = 5 THEN NULL WHEN m = 6 THEN '' ELSE expected END AS expected
+  FROM g_in
+)"""
+ORACLES["c2_validation_gaps"] = V_GAPS + """
+SELECT 'missing id' AS error, coalesce(phrase, '') AS subject FROM g WHERE coalesce(id, '') = ''
+UNION ALL SELECT 'missing phrase', coalesce(id, '') FROM g WHERE coalesce(phrase, '') = ''
+UNION ALL SELECT 'missing expected_decade', coalesce(id, '') FROM g WHERE coalesce(expected, '') = ''
+UNION ALL SELECT 'invalid expected_decade', coalesce(id, '') || ' expected_decade=' || expected FROM g
+  WHERE coalesce(expected, '') <> '' AND NOT (regexp_matches(expected, '^[0-9]{4}s$') AND CAST(left(expected, 4) AS INTEGER) BETWEEN 1850 AND 2020)
+UNION ALL SELECT 'duplicate id', id FROM g WHERE coalesce(id, '') <> '' GROUP BY id HAVING count(*) > 1"""

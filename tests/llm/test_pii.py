@@ -106,3 +106,13 @@ def test_repeated_rows_and_empty_table(documents):
     frame = documents([(1, "x.y@z.example.com"), (1, "x.y@z.example.com"), (2, None)])
     assert sorted((r.doc_id, r.n_email) for r in pii.found(frame).collect()) == [(1, 1), (1, 1), (2, 0)]
     assert pii.found(frame.limit(0)).collect() == []
+
+
+def test_recall_on_hidden_documents(documents):
+    from measure_pii import measured
+
+    rows = [(i, f"Call +1 (652) 555-{1000 + i} now. " + "some words here " * 20 + "Pages 10, 20 and 3000.") for i in range(80)]
+    got = measured(documents(rows + [(200 + i, "just 12345 words 4.0 and 99") for i in range(40)]))
+    docs, places, met, others = got["repeats"]
+    assert places == docs > 5 and met == places and others == 0
+    assert got["as_is"][3] == 0

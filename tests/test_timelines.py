@@ -61,3 +61,22 @@ def test_features_and_training_set(spark, phrases):
         features.build_features(timelines.phrase_timelines(phrases), min_count=1)).collect()}
     assert list(train["alpha"]["target"].keys()) == ["1990s", "2000s"]
     assert train["alpha"]["features"]["total_count"] == 5
+
+
+def test_rows_without_hash_and_decade_give_the_same(spark, phrases):
+    bare = phrases.drop("phrase_hash", "decade")
+
+    def rows(frame):
+        return sorted(tuple(round(v, 10) if isinstance(v, float) else v for v in r) for r in frame.collect())
+
+    for of in (timelines.phrase_timelines, timelines.phrase_statistics, lambda p: features.build_features(timelines.phrase_timelines(p))):
+        assert rows(timelines.with_phrase_hash(of(bare))) == rows(of(phrases))
+    given = features.build_features(timelines.phrase_timelines(phrases), timelines.phrase_statistics(phrases))
+    assert rows(given) == rows(features.build_features(timelines.phrase_timelines(phrases)))
+
+
+def test_partitions_of_the_joins_grow_with_the_rows(spark, monkeypatch):
+    from tempora.sources import corpora
+
+    monkeypatch.setattr(corpora, "ROWS_PER_PARTITION", 3)
+    assert corpora.parts_of(spark.range(3000)) == 1000

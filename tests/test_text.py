@@ -3,6 +3,7 @@
 import random
 import string
 import time
+import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,3 +129,13 @@ def test_long_text_is_passed_over_once():
     assert time.monotonic() - start < 60
     assert all(lowered.startswith(p, at) and at >= 0 for p, at in zip(phrases, places))
     assert [places[i] for i in range(0, 90_000, 9_000)] == [lowered.find(phrases[i]) for i in range(0, 90_000, 9_000)]
+
+
+def test_nfkc_guard_searches_only_beyond_ascii(spark):
+    """ASCII is never looked up among the class's ranges; whatever passes the guard is unchanged by NFKC."""
+    assert "octet_length" in str(text.nfkc_may_change(F.col("t")))
+    values = [f"a{chr(cp)}b" for cp in range(1, 0x3100) if not 0xD800 <= cp < 0xE000] + ["a\U0001d400", "e\u0301", "\u1100\u1161", "", "~"]
+    flags = many(spark, text.nfkc_may_change, values)
+    assert not any(flag and value.isascii() for flag, value in zip(flags, values))
+    assert all(flag or unicodedata.normalize("NFKC", value) == value for flag, value in zip(flags, values))
+    assert sum(not flag for flag in flags) > 900 and flags[-5:] == [True, True, True, False, False]

@@ -53,3 +53,24 @@ def test_point_lookup_skips_row_groups(spark, scratch):
     leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
     read = leaves.apply(0).metrics().apply("numOutputRows").value()
     assert 0 < read < rows / 4
+
+
+def test_asked_phrases_are_cleaned_once_and_stay_where_the_join_puts_them(spark):
+    from tempora.operators import inspect, timelines
+
+    rows = spark.createDataFrame([("steam engine", "1900s", 0.5), ("steam engine", "1910s", 0.5), ("mill", "1900s", 1.0), (None, "1900s", 1.0)],
+                                 "phrase string, decade string, target_probability double")
+    found = timelines.with_phrase_hash(rows.withColumn("decade_raw_count", F.lit(1)).withColumn("decade_score", F.col("target_probability")))
+    asked = found.select(F.upper("phrase").alias("phrase")).unionByName(spark.createDataFrame([("Mill!!",), ("other",)], "phrase string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        targets = inspect.inspect_targets(asked, found, top=1)
+        plan = targets._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["asked"] or "", r["cleaned_phrase"], r["decade"], r["target_rank"], r["is_top"]) for r in targets.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [("", None, "1900s", 1, True), ("MILL", "mill", "1900s", 1, True), ("Mill!!", "mill", "1900s", 1, True),
+                   ("STEAM ENGINE", "steam engine", "1900s", 1, True), ("STEAM ENGINE", "steam engine", "1910s", 2, False)]
+    # Below the distinct nothing is cleaned for a filter; the window needs no exchange of its own.
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange") == 3

@@ -80,3 +80,18 @@ def test_partitions_of_the_joins_grow_with_the_rows(spark, monkeypatch):
 
     monkeypatch.setattr(corpora, "ROWS_PER_PARTITION", 3)
     assert corpora.parts_of(spark.range(3000)) == 1000
+
+
+def test_c1_timelines_of_a_phrase_follow_each_other(spark, scratch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+
+    docs = [(i, f"steam engine number {i % 13} runs past mill {i % 7}", "en", "web", 10) for i in range(240)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{scratch}/documents.parquet")
+    entry.c1_timelines(spark, scratch).write.parquet(f"{scratch}/out")
+    files = [[(r["phrase"], r["year"]) for r in pq.read_table(f).select(["phrase", "year"]).to_pylist()] for f in sorted(glob.glob(f"{scratch}/out/*.parquet"))]
+    assert all(rows == sorted(rows) for rows in files) and len({p for rows in files for p, _ in rows}) < sum(map(len, files)) / 10
+    assert sum(len({p for p, _ in rows}) for rows in files) == len({p for rows in files for p, _ in rows})
